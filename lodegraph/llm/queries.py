@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup
+from lodegraph.llm import exact_dedup, simhash
 from lodegraph.llm.common import read_table
 
 
@@ -25,8 +25,14 @@ with norm as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 select n.doc_id, b.keep_id, b.group_size, n.doc_id = b.keep_id as kept, sha256(n.t) as text_sha256
 from norm n join best b on n.t = b.t"""
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
+    "op9_simhash": (op9_simhash, None),
 }
 
 
