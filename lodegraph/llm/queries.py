@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, simhash
+from lodegraph.llm import exact_dedup, mixing, simhash
 from lodegraph.llm.common import read_table
 
 
@@ -30,9 +30,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read_table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
+    "op10_mixing": (op10_mixing, None),
 }
 
 
