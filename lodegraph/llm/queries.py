@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import exact_dedup, mixing, simhash
+from lodegraph.llm import bpe, exact_dedup, mixing, simhash
 from lodegraph.llm.common import read_table
 
 
@@ -18,6 +18,28 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and SHA-256 of the ids and of the text decoded from them."""
+    path = vocabulary_path()
+    rows = bpe.decode(bpe.encode(docs, path), path)
+    return rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(read_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 with norm as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
               from documents),
@@ -35,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op7_bpe": (op7_bpe, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_mixing": (op10_mixing, None),
