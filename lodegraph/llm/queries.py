@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, exact_dedup, mixing, quality, simhash
+from lodegraph.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity
 from lodegraph.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
     "op7_bpe": (op7_bpe, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
