@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity
+from lodegraph.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity, va_search
 from lodegraph.llm.common import read_table
 
 
@@ -18,6 +18,23 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP1_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+           from embeddings
+           where embedding is not null and vec_id is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, c.vec_id,
+                  cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+           from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+     r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
+           from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -65,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_top_k": (op1_top_k, OP1_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
     "op7_bpe": (op7_bpe, None),
