@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity, va_search
+from lodegraph.llm import bpe, exact_dedup, mixing, quality, secrets, simhash, toxicity, va_search
 from lodegraph.llm.common import read_table
 
 
@@ -35,6 +35,13 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * c
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random"
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -83,6 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_top_k": (op1_top_k, OP1_SQL),
+    "op4_secrets": (op4_secrets, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
     "op7_bpe": (op7_bpe, None),
