@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, exact_dedup, mixing, quality, secrets, simhash, toxicity, va_search
+from lodegraph.llm import bpe, exact_dedup, html_extract, mixing, page_samples, quality, secrets, simhash, toxicity, va_search
 from lodegraph.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * c
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"), page_samples.labelled_pages(spark))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -90,6 +94,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_top_k": (op1_top_k, OP1_SQL),
+    "op2_html": (op2_html, None),
     "op4_secrets": (op4_secrets, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
