@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import bpe, exact_dedup, html_extract, mixing, page_samples, quality, secrets, simhash, toxicity, va_search
+from lodegraph.llm import (
+    bpe,
+    exact_dedup,
+    gated_lm,
+    html_extract,
+    mixing,
+    page_samples,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+    va_search,
+)
 from lodegraph.llm.common import read_table
 
 
@@ -39,6 +51,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"), page_samples.labelled_pages(spark))
 
 
+def op3_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -83,6 +99,7 @@ with norm as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 select n.doc_id, b.keep_id, b.group_size, n.doc_id = b.keep_id as kept, sha256(n.t) as text_sha256
 from norm n join best b on n.t = b.t"""
 
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -95,6 +112,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_html": (op2_html, None),
+    "op3_gated_lm": (op3_gated_lm, None),
     "op4_secrets": (op4_secrets, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_quality": (op6_quality, None),
