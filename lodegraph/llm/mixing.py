@@ -222,7 +222,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
         .withColumn("to", F.expr(f"least(first + size, (block + 1) * {block_words})"))
     )
     pieces = (
-        parts.join(slot_rows, ["source_no", "block"])
+        # Slots grow with the input, though Spark takes them for small: they must be shuffled.
+        parts.join(slot_rows.hint("merge"), ["source_no", "block"])
         .withColumn("to", F.expr(f"least(to, coalesce(block * {block_words} + cut, to))"))
         .filter("to > from")
         .select(
