@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from lodegraph.adapters.star_schema import EDGES_SQL, edges, nodes
+from lodegraph.adapters.star_schema import with_tables
 from lodegraph.operators import adjacency
 
-_E44 = EDGES_SQL.format(q=44)
-_DEGREES = f"""with {_E44}, deg as (
-  select p_partkey as id,
-    cast(coalesce(i.n, 0) as bigint) as fan_in, cast(coalesce(o.n, 0) as bigint) as fan_out
-  from part
-  left join (select target, count(*) n from edges group by 1) i on i.target = p_partkey
-  left join (select source, count(*) n from edges group by 1) o on o.source = p_partkey)"""
+_DEGREES = """, deg as (
+  select id, cast(coalesce(i.n, 0) as bigint) as fan_in, cast(coalesce(o.n, 0) as bigint) as fan_out
+  from nodes
+  left join (select target, count(*) n from edges group by 1) i on i.target = id
+  left join (select source, count(*) n from edges group by 1) o on o.source = id)"""
 
 QUERIES = {
     "a01_degrees": (
-        lambda spark, d: adjacency.degrees(nodes(spark, d), edges(spark, d)),
-        f"{_DEGREES} select id, fan_in, fan_out from deg",
+        lambda m: adjacency.degrees(m.nodes, m.edges),
+        with_tables("nodes edges", _DEGREES + " select id, fan_in, fan_out from deg"),
     ),
     "t01_hub_ranking": (
-        lambda spark, d: adjacency.hub_ranking(nodes(spark, d), edges(spark, d)),
-        f"{_DEGREES} select id, fan_in, fan_out from deg order by fan_in desc, fan_out desc, id limit 25",
+        lambda m: adjacency.hub_ranking(m.nodes, m.edges),
+        with_tables(
+            "nodes edges", _DEGREES + " select id, fan_in, fan_out from deg order by fan_in desc, fan_out desc, id limit 25"
+        ),
     ),
 }

@@ -1,13 +1,18 @@
 """Registry of queries over the star-schema tables with their SQL oracles.
 
-Each query module exposes ``QUERIES``: name -> (function(spark, sf_dir), SQL or None).
+Each query module exposes ``QUERIES``: name -> (function of a Model, SQL or None).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("graph_queries",)
+from pyspark.sql import DataFrame, SparkSession
+
+from lodegraph.adapters.star_schema import Model
+
+MODULES = ("graph_queries", "rollup_queries")
 
 
 def _all() -> dict:
@@ -17,9 +22,13 @@ def _all() -> dict:
     return found
 
 
-def queries() -> dict:
-    return {name: build for name, (build, _) in _all().items()}
+def _bound(build: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(Model(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _bound(build) for name, (build, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _all().items() if sql}
