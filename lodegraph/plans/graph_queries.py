@@ -1,9 +1,13 @@
-"""Graph queries over the part graph."""
+"""Graph queries over the part graph: degrees, reach, cycles, paths, impact and tests."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodegraph.adapters.star_schema import with_tables
-from lodegraph.operators import adjacency
+from lodegraph.functions.ranks import decimals, half_up
+from lodegraph.functions.tables import settled
+from lodegraph.operators import adjacency, closure, facts, history, spread
 
 _DEGREES = """, deg as (
   select id, cast(coalesce(i.n, 0) as bigint) as fan_in, cast(coalesce(o.n, 0) as bigint) as fan_out
@@ -11,6 +15,194 @@ _DEGREES = """, deg as (
   left join (select target, count(*) n from edges group by 1) i on i.target = id
   left join (select source, count(*) n from edges group by 1) o on o.source = id)"""
 
+# Pairs reachable over edges; of a cycle also a node with itself.
+_REACH = """, reach as (select source, target from edges union
+  select r.source, e.target from reach r join edges e on e.source = r.target)"""
+_LEVELS = """, level(id, distance) as (select id, 0 from {seeds} union
+  select e.{to}, distance + 1 from level join edges e on e.{at} = id where distance < {most}),
+  least as (select id, cast(min(distance) as bigint) as distance from level group by 1)"""
+
+
+def reach_counts(m):
+    return closure.reach_counts(m.nodes, m.edges)
+
+
+def back(edges):
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
+def tests(m):
+    return m.nodes.filter("kind = 'test'").select("id")
+
+
+def cycle_sizes(m):
+    rows = closure.cycles(m.edges)
+    return rows.groupBy("cycle").agg(F.count(F.lit(1)).alias("members"), F.max("id").alias("last_member"))
+
+
+def path_lengths(m):
+    """Shortest paths from part 0's neighbourhood of tests, least in order of ids."""
+    seeds = m.nodes.filter("id % 97 = 0").select("id")
+    rows = closure.least_paths(m.edges, seeds, 6)
+    return rows.select(
+        "id", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")
+    )
+
+
+def neighbourhood(m):
+    """Nodes within two undirected steps of some nodes, and their distance."""
+    seeds = m.nodes.filter("id % 50 = 0").select("id")
+    return closure.levels(closure.both_ways(m.edges), seeds, most=2)
+
+
+def change_impact(m):
+    """Distance of every dependent from the files that the last commits changed, re-exports included."""
+    changed = m.commit_files.filter("hash % 100 = 7").select(F.col("path").alias("id")).distinct()
+    links = facts.used_edges(m.edge_rows, re_exports=True)
+    return closure.levels(back(links), changed, most=50)
+
+
+def test_reach(m):
+    """How deep tests reach each file, and how many tests do."""
+    rows = closure.levels(m.edges, tests(m).select(F.col("id").alias("test"), "id"), ("test",))
+    reached = rows.filter("test <> id").groupBy("id").agg(
+        F.min("distance").alias("depth"), F.count(F.lit(1)).alias("tests")
+    )
+    return reached.withColumn("reach", F.when(F.col("depth") == 1, "direct").when(F.col("depth") >= 3, "deep").otherwise("transitive"))
+
+
+def unreached(m):
+    """Imported files that no test reaches."""
+    reached = closure.levels(m.edges, tests(m)).select("id")
+    fan_in = m.edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
+    return m.nodes.filter("kind <> 'test'").select("id").join(fan_in, "id").join(reached, "id", "left_anti")
+
+
+def coverage_trend(m):
+    """Used, untested and test files, and the share that tests reach."""
+    used = m.nodes.filter("kind <> 'test'").join(m.edges.select(F.col("target").alias("id")).distinct(), "id", "left_semi")
+    reached = closure.levels(m.edges, tests(m)).select("id", F.lit(True).alias("reached"))
+    sums = used.join(reached, "id", "left").agg(
+        F.count(F.lit(1)).alias("used"), F.count_if(F.col("reached").isNull()).alias("untested")
+    )
+    number = tests(m).agg(F.count(F.lit(1)).alias("tests"))
+    return sums.join(F.broadcast(number)).select(
+        "used", "untested", "tests", decimals((F.col("used") - F.col("untested")) / F.col("used") * 100, 1).alias("share")
+    )
+
+
+def hidden_pairs(m):
+    """Files that change together though neither reaches the other."""
+    pairs = history.co_change(m.commit_files, 8, 2, 0.03).select("source", "target", "shared")
+    reach = settled(closure.closure(m.edges))
+    return pairs.join(reach, ["source", "target"], "left_anti").join(back(reach), ["source", "target"], "left_anti")
+
+
+def tier_votes(m):
+    return spread.propagate_tiers(m.nodes.select("id", "tier"), m.edge_rows.filter("kind <> 'call'"))
+
+
+def tier_directions(m):
+    return spread.tier_directions(m.nodes.select("id", "tier", F.col("unit")), m.edge_rows)
+
+
+def outside_dependents(m):
+    """For each directory the nodes outside it that reach a member."""
+    own = m.nodes.select(F.col("directory").alias("block"), "id")
+    found = closure.levels(back(m.edges), own.filter("id % 3 = 0"), ("block",))
+    inside = own.withColumnRenamed("block", "own_block")
+    return found.join(inside, "id").filter("block <> own_block").groupBy("block").agg(F.count(F.lit(1)).alias("dependents"))
+
+
+def extraction(m):
+    """What leaves and enters a set of files that is to be taken out."""
+    inside = m.nodes.filter("directory in ('Brand#1', 'Brand#2', 'Brand#3')").select("id")
+    return spread.extraction(m.edges, inside)
+
+
+def scope_fence(m):
+    """Changed files in and out of a scope, and how many others import them."""
+    changed = m.commit_files.filter("hash % 50 = 3").select(F.col("path").alias("id")).distinct().join(m.nodes, "id")
+    rows = changed.withColumn("inside", F.col("path").rlike("^src/"))
+    importers = m.edges.join(changed.select(F.col("id").alias("target")), "target", "left_semi").join(
+        changed.select(F.col("id").alias("source")), "source", "left_anti"
+    )
+    counts = importers.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("importers"))
+    return rows.join(counts, "id", "left").select("id", "inside", F.coalesce("importers", F.lit(0)).alias("importers"))
+
+
+def endpoints(m):
+    """Non-test files within three steps of each entry."""
+    entries = m.nodes.filter("kind = 'entry'").select(F.col("id").alias("entry"), "id")
+    rows = closure.levels(m.edges, entries, ("entry",), 3).filter("entry <> id")
+    return rows.join(m.nodes.filter("kind <> 'test'").select("id"), "id").groupBy("entry").agg(
+        F.count(F.lit(1)).alias("files"), F.max("distance").alias("depth")
+    )
+
+
+def classification(m):
+    """Tags carried along plain mappings, with their distance and the least dataset before."""
+    declared = m.nodes.filter("lines = 50").select("id", F.concat(F.lit("tag-"), F.col("unit")).alias("tag"))
+    plain = m.edge_rows.filter("role = 'use' and source <> target").select("source", "target").distinct()
+    return closure.levels(plain, declared, ("tag",))
+
+
+def data_impact(m):
+    """Datasets that changed files write: severity, readers and the size of what lies downstream."""
+    touched = m.data_edges.filter("access = 'writes' and file % 10 = 1").select("dataset").distinct()
+    readers = m.data_edges.filter("access = 'reads'").groupBy("dataset").agg(F.count_distinct("file").alias("readers"))
+    down = closure.levels(m.edges, touched.select(F.col("dataset").alias("origin"), F.col("dataset").alias("id")), ("origin",), 4)
+    size = down.filter("origin <> id").groupBy(F.col("origin").alias("dataset")).agg(F.count(F.lit(1)).alias("downstream"))
+    governed = m.contracts.withColumn("governed", F.lit(True))
+    rows = touched.join(readers, "dataset", "left").join(size, "dataset", "left").join(governed, "dataset", "left")
+    return rows.select(
+        "dataset",
+        F.when(F.col("governed"), "high").otherwise("moderate").alias("severity"),
+        F.coalesce("readers", F.lit(0)).alias("readers"),
+        F.coalesce("downstream", F.lit(0)).alias("downstream"),
+    )
+
+
+def health_axes(m):
+    """Axes of architecture health from degrees, cycles, cohesion and reach."""
+    degrees = adjacency.degrees(m.nodes, m.edges)
+    sums = degrees.agg(F.avg("fan_out").alias("avg"), F.max("fan_out").alias("most"), F.count(F.lit(1)).alias("n"))
+    cyclic = closure.cycles(m.edges).agg(F.count(F.lit(1)).alias("c"))
+    row = sums.join(F.broadcast(cyclic))
+    share = lambda x, cap: half_up((1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / cap))) * 100)
+    return row.select(
+        share(F.col("avg"), F.lit(10.0)).alias("low_coupling"),
+        share(F.col("most"), F.lit(25.0)).alias("low_fan_out"),
+        share(F.col("c"), F.greatest(F.lit(1), F.col("n"))).alias("low_complexity"),
+    )
+
+
+def drift(m):
+    """Measures of a revision; what a revision does not record stays null."""
+    cycles = closure.cycles(m.edges).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cycles.agg(F.count(F.lit(1)).alias("cycles"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_cycle"))
+    modules = m.nodes.agg(F.count(F.lit(1)).alias("modules"))
+    largest = m.nodes.groupBy("directory").count().agg(F.max("count").alias("largest_module"))
+    edges = m.edge_rows.filter(facts.relationship().isin("import", "re-export")).agg(F.count(F.lit(1)).alias("edges"))
+    blast = reach_counts(m).agg(F.max("dependents").alias("blast"))
+    row = sizes
+    for other in (modules, largest, edges, blast):
+        row = row.join(F.broadcast(other))
+    return row.selectExpr(
+        "stack(8, 'cycles', cycles, 'largest-cycle', largest_cycle, 'modules', modules, 'largest-module', largest_module,"
+        " 'edges', edges, 'largest-blast-radius', blast, 'hidden-coupling-share', null, 'tier-violations', null)"
+        " as (measure, value)"
+    )
+
+
+def quality(m):
+    return spread.quality_scores(m)
+
+
+_USED = """, edges as (select distinct source, target from edge_rows where source <> target
+  and (role = 'use' or kind = 're-export'))"""
+_TESTS = "(select id from nodes where kind = 'test')"
+
 QUERIES = {
     "a01_degrees": (
         lambda m: adjacency.degrees(m.nodes, m.edges),
@@ -18,8 +210,201 @@ QUERIES = {
     ),
     "t01_hub_ranking": (
         lambda m: adjacency.hub_ranking(m.nodes, m.edges),
-        with_tables(
-            "nodes edges", _DEGREES + " select id, fan_in, fan_out from deg order by fan_in desc, fan_out desc, id limit 25"
-        ),
+        with_tables("nodes edges", _DEGREES + " select id, fan_in, fan_out from deg order by fan_in desc, fan_out desc, id limit 25"),
+    ),
+    "g02_reach_counts": (
+        reach_counts,
+        with_tables("nodes edges", _REACH + """, r as (select * from reach where source <> target)
+          select id, coalesce(f.n, 0) as dependencies, coalesce(b.n, 0) as dependents from nodes
+          left join (select source, count(*) n from r group by 1) f on f.source = id
+          left join (select target, count(*) n from r group by 1) b on b.target = id""", True),
+    ),
+    "g03_cycles": (
+        cycle_sizes,
+        with_tables("edges", _REACH + """, c as (select a.source as id, min(a.target) as cycle from reach a
+            join reach b on a.source = b.target and a.target = b.source group by 1),
+          g as (select cycle, count(*) as members, max(id) as last_member from c group by 1)
+          select * from g where members > 1""", True),
+    ),
+    "g05_least_paths": (
+        path_lengths,
+        with_tables("nodes edges", """, walk(id, distance, path) as (
+            select id, cast(0 as bigint), [id] from nodes where id % 97 = 0 union all
+            select target, distance + 1, list_append(path, target) from walk join edges on source = id
+            where distance < 6 and not list_contains(path, target)),
+          best as (select id, min((distance, path)) as b from walk group by 1)
+          select id, b[1] as distance, array_to_string(b[2], ',') as path from best""", True),
+    ),
+    "g06_neighbourhood": (
+        neighbourhood,
+        with_tables("nodes edges", """, u as (select source, target from edges union select target, source from edges),
+          s as (select id from nodes where id % 50 = 0),
+          one as (select target as id from u join s on s.id = source),
+          two as (select target as id from u join one on one.id = source)
+          select id, cast(min(d) as bigint) as distance from (select id, 0 as d from s union all select id, 1 from one
+            union all select id, 2 from two) x group by 1"""),
+    ),
+    "g07_change_impact": (
+        change_impact,
+        with_tables("edge_rows commit_files", _USED + _LEVELS.format(
+            seeds="(select distinct path as id from commit_files where hash % 100 = 7) z", to="source", at="target", most=50)
+            + " select id, distance from least", True),
+    ),
+    "g08_test_reach": (
+        test_reach,
+        with_tables("nodes edges", f""", level(test, id, distance) as (select id, id, 0 from {_TESTS} z union
+            select test, target, distance + 1 from level join edges on source = level.id where distance < 60),
+          least as (select test, id, min(distance) as d from level where test <> id group by 1, 2),
+          r as (select id, cast(min(d) as bigint) as depth, count(*) as tests from least group by 1)
+          select id, depth, tests, case when depth = 1 then 'direct' when depth >= 3 then 'deep' else 'transitive' end as reach
+          from r""", True),
+    ),
+    "g08_unreached": (
+        unreached,
+        with_tables("nodes edges", f""", seen(id) as (select id from {_TESTS} z union
+            select target from seen join edges on source = seen.id)
+          select id, count(*) as fan_in from nodes join edges on target = id where kind <> 'test'
+            and id not in (select id from seen) group by 1""", True),
+    ),
+    "g09_components": (
+        lambda m: closure.components(m.edges).groupBy("component").agg(F.count(F.lit(1)).alias("members")),
+        with_tables("edges", """, u as (select source, target from edges union select target, source from edges),
+          w(id, o) as (select source, source from u union select target, w.o from w join u on u.source = w.id),
+          c as (select id, min(o) as component from w group by 1)
+          select component, count(*) as members from c group by 1""", True),
+    ),
+    "g15_tier_votes": (
+        tier_votes,
+        with_tables("nodes edge_rows", """, l as (select source, target from edge_rows where kind <> 'call' and source <> target
+            union select target, source from edge_rows where kind <> 'call' and source <> target),
+          v as (select l.source as id, n.tier, count(*) as votes from l join nodes n on n.id = l.target
+            where n.tier <> 'unclassified' group by 1, 2),
+          t as (select id, sum(votes) as total, max(votes) as most, arg_max(tier, votes) as top from v group by 1)
+          select nodes.id, top as tier, most as votes, cast(total as bigint) as total from nodes join t using (id)
+          where tier = 'unclassified' and total >= 2 and most * 2 > total"""),
+    ),
+    "g18_outside_dependents": (
+        outside_dependents,
+        with_tables("nodes edges", """, w(block, id) as (select directory, id from nodes where id % 3 = 0 union
+            select block, source from w join edges on target = w.id)
+          select block, count(*) as dependents from w join nodes using (id) where directory <> block group by 1""", True),
+    ),
+    "g19_extraction": (
+        extraction,
+        with_tables("nodes edges", """, s as (select id from nodes where directory in ('Brand#1', 'Brand#2', 'Brand#3')),
+          w(id) as (select target from edges where source in (select id from s) and target not in (select id from s) union
+            select target from w join edges on source = w.id where target not in (select id from s))
+          select 'outward' as kind, count(*) as n from edges where source in (select id from s) and target not in (select id from s)
+          union all select 'inward', count(*) from edges where target in (select id from s) and source not in (select id from s)
+          union all select 'inside', count(*) from edges where target in (select id from s) and source in (select id from s)
+          union all select 'closure', count(*) from w""", True),
+    ),
+    "g20_scope_fence": (
+        scope_fence,
+        with_tables("nodes edges commit_files", """, c as (select distinct path as id from commit_files where hash % 50 = 3)
+          select c.id, n.path like 'src/%' as inside,
+            (select count(*) from edges where target = c.id and source not in (select id from c)) as importers
+          from c join nodes n using (id)"""),
+    ),
+    "g21_tier_directions": (
+        tier_directions,
+        with_tables("nodes edge_rows", """, r as (select id, unit, tier, case tier when 'frontend' then 5 when 'api' then 4
+            when 'domain' then 3 when 'data' then 1 end as rank from nodes),
+          e as (select distinct source, target from edge_rows where kind <> 'call')
+          select a.unit, source, target, case when a.rank < b.rank then 'upward' else 'skip-layer' end as kind
+          from e join r a on a.id = source join r b on b.id = target where a.unit = b.unit and (a.rank < b.rank or
+            (a.rank - b.rank > 1 and exists (select 1 from r c where c.unit = a.unit and c.rank < a.rank and c.rank > b.rank)))"""),
+    ),
+    "g22_classification": (
+        classification,
+        with_tables("nodes edge_rows", """, w(tag, id, distance) as (select 'tag-' || unit, id, 0 from nodes where lines = 50 union
+            select tag, target, distance + 1 from w join edge_rows on source = w.id and role = 'use' and source <> target
+            where distance < 40)
+          select tag, id, cast(min(distance) as bigint) as distance from w group by 1, 2""", True),
+    ),
+    "g23_data_impact": (
+        data_impact,
+        with_tables("edges data_edges contracts", """, t as (select distinct dataset from data_edges
+            where access = 'writes' and file % 10 = 1),
+          w(origin, id, distance) as (select dataset, dataset, 0 from t union
+            select origin, target, distance + 1 from w join edges on source = w.id where distance < 4),
+          z as (select origin, count(distinct id) as n from w where origin <> id group by 1),
+          k as (select dataset, count(distinct file) as n from data_edges where access = 'reads' group by 1)
+          select t.dataset, case when t.dataset in (select dataset from contracts) then 'high' else 'moderate' end as severity,
+            coalesce(k.n, 0) as readers, coalesce(z.n, 0) as downstream
+          from t left join k on k.dataset = t.dataset left join z on z.origin = t.dataset""", True),
+    ),
+    "g25_endpoint_downstream": (
+        endpoints,
+        with_tables("nodes edges", """, w(entry, id, distance) as (select id, id, 0 from nodes where kind = 'entry' union
+            select entry, target, distance + 1 from w join edges on source = w.id where distance < 3),
+          l as (select entry, id, min(distance) as d from w where entry <> id group by 1, 2)
+          select entry, count(*) as files, cast(max(d) as bigint) as depth from l join nodes using (id)
+          where kind <> 'test' group by 1""", True),
+    ),
+    "j19_hidden_coupling": (
+        hidden_pairs,
+        with_tables("edges commit_files", _REACH + """, churn as (select path, count(*) as n from commit_files group by 1),
+          small as (select hash from commit_files group by 1 having count(*) <= 8),
+          pairs as (select a.path as source, b.path as target, count(*) as shared from commit_files a
+            join commit_files b on a.hash = b.hash and a.path < b.path join small s on s.hash = a.hash group by 1, 2)
+          select source, target, shared from pairs join churn x on x.path = source join churn y on y.path = target
+          where shared >= 2 and cast(shared as double) / (x.n + y.n - shared) >= 0.03
+            and (source, target) not in (select source, target from reach)
+            and (target, source) not in (select source, target from reach)""", True),
+    ),
+    "a08_health_axes": (
+        health_axes,
+        with_tables("nodes edges", _REACH + _DEGREES + """, c as (select count(distinct a.source) as c from reach a
+            where a.source = a.target),
+          s as (select avg(fan_out) as a, max(fan_out) as m, count(*) as n from deg)
+          select cast(floor((1 - least(1.0, a / 10)) * 100 + 0.5) as bigint) as low_coupling,
+            cast(floor((1 - least(1.0, m / 25.0)) * 100 + 0.5) as bigint) as low_fan_out,
+            cast(floor((1 - least(1.0, cast(c as double) / n)) * 100 + 0.5) as bigint) as low_complexity from s, c""", True),
+    ),
+    "r14_drift": (
+        drift,
+        with_tables("nodes edges edge_rows", _REACH + """, c as (select a.source as id, min(a.target) as cycle from reach a
+            join reach b on a.source = b.target and a.target = b.source group by 1),
+          g as (select cycle, count(*) as n from c group by 1 having count(*) > 1),
+          b as (select target, count(*) as n from reach where source <> target group by 1)
+          select 'cycles' as measure, count(*) as value from g
+          union all select 'largest-cycle', coalesce(max(n), 0) from g
+          union all select 'modules', count(*) from nodes
+          union all select 'largest-module', max(n) from (select count(*) n from nodes group by directory) x
+          union all select 'edges', count(*) from edge_rows where relationship is null and (kind = 're-export' or role = 'use')
+          union all select 'largest-blast-radius', max(n) from b
+          union all select 'hidden-coupling-share', null union all select 'tier-violations', null""", True),
+    ),
+    "r15_coverage_trend": (
+        coverage_trend,
+        with_tables("nodes edges", f""", seen(id) as (select id from {_TESTS} z union
+            select target from seen join edges on source = seen.id),
+          u as (select distinct id, id in (select id from seen) as reached from nodes join edges on target = id where kind <> 'test')
+          select count(*) as used, count(*) filter (not reached) as untested, (select count(*) from {_TESTS} z) as tests,
+            floor(cast(count(*) filter (reached) as double) / count(*) * 100 * 10 + 0.5) / 10 as share from u""", True),
+    ),
+    "r01_quality": (
+        quality,
+        with_tables("nodes edges functions commit_files", _REACH + f""", f as (select file, count(*) as functions,
+            sum(decisions) as decisions, max(decisions) as most, max(nesting) as nesting from functions group by 1),
+          k as (select path, count(*) as churn from commit_files group by 1),
+          b as (select target, count(*) as blast from reach where source <> target group by 1),
+          seen(id) as (select id from {_TESTS} z union select target from seen join edges on source = seen.id),
+          x as (select id, lines, coalesce(functions, 0) as functions, coalesce(decisions, 0) as decisions,
+            coalesce(most, 0) as most, coalesce(nesting, 0) as nesting, coalesce(churn, 0) as churn,
+            coalesce(blast, 0) as blast, case when id in (select id from seen) then 100 else 0 end as reach
+            from nodes left join f on file = id left join k on k.path = id left join b on target = id),
+          p as (select id, reach, floor(percent_rank() over (order by lines) * 100 + 0.5) as p1,
+            floor(percent_rank() over (order by functions) * 100 + 0.5) as p2,
+            floor(percent_rank() over (order by decisions) * 100 + 0.5) as p3,
+            floor(percent_rank() over (order by most) * 100 + 0.5) as p4,
+            floor(percent_rank() over (order by nesting) * 100 + 0.5) as p5,
+            floor(percent_rank() over (order by churn) * 100 + 0.5) as churn,
+            floor(percent_rank() over (order by blast) * 100 + 0.5) as blast from x),
+          c as (select *, floor((p1 + p2 + p3 + p4 + p5) / 5 + 0.5) as complexity from p),
+          h as (select *, floor(complexity * churn / 100 + 0.5) as hotspot from c)
+          select id, cast(complexity as bigint) as complexity, cast(hotspot as bigint) as hotspot,
+            cast(floor(hotspot * blast * (100 - reach) / 10000 + 0.5) as bigint) as risk from h""", True),
     ),
 }
