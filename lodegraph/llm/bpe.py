@@ -31,8 +31,8 @@ from lodegraph.llm.common import small_batches
 
 # Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 250_000
 NEVER = np.int64(1 << 40)
 
 
