@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """df as a written table, with the lineage that led to it cut off."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled_counting(df, F.count(F.lit(1)))[0]
+
+
+def settled_counting(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+    """df as a written table, and an aggregate that the same job measures while it writes."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    seen = Observation()
+    df.observe(seen, measure.alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"] or 0
+
+
+class Layers:
+    """Rows found round by round: each round's new rows are a partition of one folder."""
+
+    def __init__(self, spark: SparkSession, column: str):
+        self.spark, self.column, self.path = spark, column, f"{shared_folder(spark)}/layers"
+        self.schema = None
+
+    def add(self, rows: DataFrame, number: int) -> tuple[DataFrame, int]:
+        """Write a round; returns it and its number of rows."""
+        self.schema = rows.schema
+        seen, path = Observation(), f"{self.path}/{self.column}={number}"
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), seen.get["n"] or 0
+
+    def all(self) -> DataFrame:
+        """All rounds, with the round's number as a long."""
+        schema = StructType([*self.schema.fields, StructField(self.column, LongType())])
+        return self.spark.read.schema(schema).parquet(self.path)

@@ -1,7 +1,8 @@
 """Iterative operators over directed edges (source, target): reach, cycles, levels, paths.
 
-Every round is written to the shared checkpoint folder, so that lineage stays short and
-a lost executor repeats one round at most.  Loops end when a round adds nothing.
+Every round is one job that writes its rows to the shared checkpoint folder and counts
+them on the way, so lineage stays short and a lost executor repeats one round at most.
+Loops end when a round adds nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.functions.tables import settled
+from lodegraph.functions.tables import Layers, settled, settled_counting
+
+SMALL_EDGES = 500
+ROWS = F.count(F.lit(1))
 
 
 def proper(edges: DataFrame) -> DataFrame:
@@ -17,10 +21,12 @@ def proper(edges: DataFrame) -> DataFrame:
     return edges.filter("source <> target").select("source", "target").distinct()
 
 
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("source", "target").unionByName(
-        edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    )
+    return edges.select("source", "target").unionByName(turned(edges))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -29,15 +35,14 @@ def closure(edges: DataFrame) -> DataFrame:
     Paths double in each round, so a graph of depth d takes log2(d) rounds.  Pairs of a
     node with itself are dropped: longer paths through them are found without them.
     """
-    reach = settled(proper(edges))
-    count = reach.count()
+    reach, count = settled_counting(proper(edges), ROWS)
     while True:
         step = reach.alias("a").join(reach.alias("b"), F.col("a.target") == F.col("b.source"))
         longer = step.select(F.col("a.source"), F.col("b.target")).filter("source <> target")
-        reach = settled(reach.unionByName(longer).distinct())
-        before, count = count, reach.count()
-        if count == before:
+        reach, now = settled_counting(reach.unionByName(longer).distinct(), ROWS)
+        if now == count:
             return reach
+        count = now
 
 
 def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,29 +63,22 @@ def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """keys, id, distance: least number of edges from a seed (keys, id); seeds are at 0."""
     names = [*keys, "id"]
-    links = settled(proper(edges))
-    found = settled(seeds.select(*names).distinct().withColumn("distance", F.lit(0).cast("long")))
-    front, distance = found, 0
-    while most is None or distance < most:
+    links, found = settled(proper(edges)), Layers(edges.sparkSession, "distance")
+    front, n = found.add(seeds.select(*names).distinct(), 0)
+    distance = 0
+    while n and (most is None or distance < most):
         distance += 1
         step = front.join(links, front["id"] == links["source"]).select(*keys, F.col("target").alias("id")).distinct()
-        front = settled(
-            step.join(found.select(*names), names, "left_anti").withColumn("distance", F.lit(distance).cast("long"))
-        )
-        if not front.take(1):
-            break
-        found = settled(found.unionByName(front))
-    return found
+        front, n = found.add(step.join(found.all(), names, "left_anti"), distance)
+    return found.all()
 
 
 def least_paths(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame:
     """id, distance, path: the shortest path from any seed (id), of equals the least as a list."""
-    links = settled(proper(edges))
-    found = settled(
-        seeds.select("id").distinct().select("id", F.lit(0).cast("long").alias("distance"), F.array("id").alias("path"))
-    )
-    front, distance = found, 0
-    while distance < most:
+    links, found = settled(proper(edges)), Layers(edges.sparkSession, "distance")
+    front, n = found.add(seeds.select("id").distinct().select("id", F.array("id").alias("path")), 0)
+    distance = 0
+    while n and distance < most:
         distance += 1
         step = (
             front.join(links, front["id"] == links["source"])
@@ -88,80 +86,70 @@ def least_paths(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame
             .groupBy("id")
             .agg(F.min("path").alias("path"))
         )
-        front = settled(
-            step.join(found.select("id"), "id", "left_anti").select(
-                "id", F.lit(distance).cast("long").alias("distance"), "path"
-            )
-        )
-        if not front.take(1):
-            break
-        found = settled(found.unionByName(front))
-    return found
-
-
-def trimmed(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Edges left after removing nodes without an edge in or without an edge out, again and again."""
-    left = settled(proper(edges))
-    count, done = left.count(), 0
-    while count and (rounds is None or done < rounds):
-        done += 1
-        kept = settled(
-            left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
-                left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
-            ).select("source", "target")
+        front, n = found.add(step.join(found.all().select("id"), "id", "left_anti"), distance)
+    return found.all()
+
+
+def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges left, and their number, without nodes that have no edge in or no edge out, again and again."""
+    left, count = settled_counting(proper(edges), ROWS)
+    while count:
+        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
+            left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
         )
-        before, count = count, kept.count()
-        left = kept
-        if count == before:
+        left, now = settled_counting(kept.select("source", "target"), ROWS)
+        if now == count:
             break
-    return left
+        count = now
+    return left, count
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """id, cycle: members of strongly connected components of two nodes and more; cycle is their least id.
 
-    Nodes outside cycles are trimmed first.  Each round spreads least labels forward;
-    the nodes from which a label's owner is reached back make up its component.
+    Nodes outside cycles are trimmed first.  What is left is closed where it is small
+    (SMALL_EDGES); otherwise each round spreads least labels forward, and the nodes from
+    which a label's owner is reached back make up its component.
     """
-    left, parts = trimmed(edges), []
-    while left.take(1):
+    left, count = trimmed(edges)
+    parts = []
+    while count > SMALL_EDGES:
         colour = _spread(left)
         inside = left.join(colour.withColumnRenamed("id", "source"), "source").withColumnRenamed("label", "from_label")
         inside = inside.join(colour.withColumnRenamed("id", "target"), "target").filter("from_label = label")
-        back = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
         owners = colour.filter("id = label").select("id")
-        part = settled(
-            levels(back, owners)
-            .join(colour, "id")
-            .select("id", F.col("label").alias("cycle"))
-        )
+        part = settled(levels(turned(inside), owners).join(colour, "id").select("id", F.col("label").alias("cycle")))
         parts.append(part)
-        left = trimmed(
+        left, count = trimmed(
             left.join(part.select(F.col("id").alias("source")), "source", "left_anti").join(
                 part.select(F.col("id").alias("target")), "target", "left_anti"
-            ).select("source", "target")
+            )
         )
-    found = None
+    reach = closure(left)
+    mutual = reach.join(turned(reach), ["source", "target"]).groupBy(F.col("source").alias("id"))
+    found = mutual.agg(F.least(F.min("target"), F.col("id")).alias("cycle"))
     for part in parts:
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return edges.select(F.col("source").alias("id"), F.col("source").alias("cycle")).limit(0)
-    real = found.groupBy("cycle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cycle")
-    return found.join(real, "cycle").select("id", "cycle")
+        found = found.unionByName(part)
+    real = found.groupBy("cycle").agg(ROWS.alias("n")).filter("n > 1").select("cycle")
+    return settled(found.join(real, "cycle").select("id", "cycle"))
 
 
 def _spread(edges: DataFrame) -> DataFrame:
-    """id, label: the least node that reaches each node (itself included)."""
+    """id, label: the least node that reaches each node (itself included).
+
+    Only nodes whose label changed push it on.
+    """
     ids = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
-    label = settled(ids.withColumn("label", F.col("id")))
-    while True:
-        pushed = edges.join(label, edges["source"] == label["id"]).select(F.col("target").alias("id"), "label")
-        new = settled(label.unionByName(pushed).groupBy("id").agg(F.min("label").alias("label")))
-        changed = new.join(label.withColumnRenamed("label", "old"), "id").filter("label < old")
-        more = bool(changed.take(1))
-        label = new
-        if not more:
-            return label
+    label, changed = settled_counting(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("new")), ROWS)
+    while changed:
+        front = label.filter("new").select(F.col("id").alias("source"), F.col("label").alias("pushed"))
+        pushed = edges.join(front, "source").groupBy(F.col("target").alias("id")).agg(F.min("pushed").alias("pushed"))
+        lower = F.coalesce(F.col("pushed") < F.col("label"), F.lit(False))
+        rows = label.join(pushed, "id", "left").select(
+            "id", F.when(lower, F.col("pushed")).otherwise(F.col("label")).alias("label"), lower.alias("new")
+        )
+        label, changed = settled_counting(rows, F.count_if("new"))
+    return label.select("id", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,19 +168,27 @@ def condensed(edges: DataFrame, cycle: DataFrame) -> DataFrame:
     )
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, depth: edges on the longest path that leaves a node in an acyclic graph."""
-    links = settled(proper(edges))
-    found = settled(nodes.select("id", F.lit(0).cast("long").alias("depth")))
-    front = found
-    while True:
+def depths(edges: DataFrame) -> DataFrame:
+    """id, depth: edges on the longest path that leaves a node; members of a cycle share its depth.
+
+    Depth is defined on the condensed graph, where it cannot depend on an order of visits.
+    """
+    cycle = cycles(edges)
+    links = settled(condensed(edges, cycle))
+    ids = both_ways(links).select(F.col("source").alias("id")).distinct()
+    front, n = settled_counting(ids.select("id", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("new")), ROWS)
+    found = front
+    while n:
         step = (
-            links.join(front, links["target"] == front["id"])
+            links.join(found.filter("new"), links["target"] == found["id"])
             .groupBy(F.col("source").alias("id"))
             .agg((F.max("depth") + 1).alias("up"))
         )
-        higher = step.join(found, "id").filter("up > depth").select("id", F.col("up").alias("depth"))
-        front = settled(higher)
-        if not front.take(1):
-            return found
-        found = settled(found.unionByName(front).groupBy("id").agg(F.max("depth").alias("depth")))
+        higher = F.coalesce(F.col("up") > F.col("depth"), F.lit(False))
+        rows = found.join(step, "id", "left").select(
+            "id", F.when(higher, F.col("up")).otherwise(F.col("depth")).alias("depth"), higher.alias("new")
+        )
+        found, n = settled_counting(rows, F.count_if("new"))
+    members = cycle.join(found.withColumnRenamed("id", "cycle"), "cycle").select("id", "depth")
+    alone = found.join(cycle.select("id"), "id", "left_anti").select("id", "depth")
+    return alone.unionByName(members)
