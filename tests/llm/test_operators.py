@@ -1,0 +1,361 @@
+"""The dealt operators against brute force, round trips and held-out accuracy, with odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodegraph.llm import bpe, exact_dedup, gated_lm, html_extract, mixing, page_samples, quality, secrets, simhash
+from lodegraph.llm import queries as llm
+from lodegraph.llm import toxicity, va_search
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, row string"
+
+
+def frame(spark, texts, ids=None, sources=None):
+    ids, sources = ids or range(len(texts)), sources or ["a"] * len(texts)
+    rows = [(i, t, "en", s, len(t or ""), "x", "y") for i, t, s in zip(ids, texts, sources)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, repeated, very long and hostile texts, columns with clashing names."""
+    texts = [None, "", " \t", "Word", "word", "word", "x" * 200_000, "é ñ   ü", "a b c d e f g " * 3000, None, "pass" * 9]
+    return frame(spark, texts, [0, 1, 2, 3, 4, 4, 5, 6, 7, None, 8], ["a", "b", None, "b", "a", "a", "c", "a", "c", "a", None])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def lowered(text):
+    return text.translate({i: i + 32 for i in range(65, 91)})
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+
+
+# ---------------------------------------------------------------- exact dedup
+
+
+def dedup_by_hand(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lowered(t or ""), []).append(i)
+    return {t: (max(x for x in g if x is not None) if any(x is not None for x in g) else None, len(g)) for t, g in groups.items()}
+
+
+def test_exact_dedup(spark, odd, empty, documents):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    want = dedup_by_hand(rows)
+    got = exact_dedup.classes(odd).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(want)
+    sizes = Counter((r["keep_id"], r["group_size"]) for r in got)
+    assert sizes == Counter(v for _, t in rows for v in [want[lowered(t or "")]])
+    assert exact_dedup.classes(empty).collect() == []
+    found = {r["doc_id"]: r for r in llm.op8_exact_dedup(spark, SMALL).collect()}
+    hand = dedup_by_hand(documents.items())
+    for i, t in documents.items():
+        keep, size = hand[lowered(t)]
+        digest = hashlib.sha256(lowered(t).encode()).hexdigest()
+        r = found[i]
+        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, size, keep == i, digest)
+
+
+def test_short_fingerprints_need_the_byte_check(spark):
+    rows = frame(spark, [f"text {i % 40}" for i in range(200)])
+    got = exact_dedup.classes(rows, fingerprint_bits=3).collect()
+    assert {r["group_size"] for r in got} == {5} and sum(r["kept"] for r in got) == 40
+
+
+def test_golomb_round_trip():
+    rng = np.random.default_rng(1)
+    for top in (1, 5, 1000, 1 << 40):
+        gaps = rng.integers(0, top, 500).astype(np.uint64)
+        rice, unary, low = exact_dedup.rice_encode(gaps)
+        assert (exact_dedup.rice_decode(500, rice, unary, low) == gaps).all()
+
+
+def test_deduplicate_keeps_columns(odd):
+    kept = exact_dedup.deduplicate(odd)
+    assert kept.columns == odd.columns
+    assert len({lowered(r["text"] or "") for r in kept.collect()}) == kept.count()
+
+
+# ---------------------------------------------------------------- simhash
+
+
+def components_by_hand(prints):
+    ids = list(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(spark, odd, empty, documents):
+    import xxhash
+
+    def fingerprint(text):
+        w = words(text)
+        n = min(3, len(w)) or 1
+        shingles = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if w else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+    prints = {i: fingerprint(t) for i, t in documents.items()}
+    want = components_by_hand(prints)
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in llm.op9_simhash(spark, SMALL).collect()}
+    assert got == {i: (prints[i], want[i]) for i in documents}
+    assert simhash.near_duplicates(odd, 3).count() == odd.count()
+    assert simhash.near_duplicates(empty, 3).count() == 0
+    assert simhash.keep_one(odd, 3).columns == ["doc_id", *[c for c in odd.columns if c != "doc_id"]]
+
+
+def test_simhash_finds_all_planted_links(spark, monkeypatch):
+    """Every distance up to 3 is found, also where runs are cut again."""
+    monkeypatch.setattr(simhash, "RUN_ROWS", 8)
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(1 << 62, size=6)]
+    prints = {p for b in base for p in [b] + [b ^ sum(1 << int(i) for i in rng.choice(62, int(rng.integers(1, 4)), False)) for _ in range(30)]}
+    low = int(base[0]) & ~0xFFFFFFFF
+    prints |= {low | int(x) for x in rng.integers(1 << 31, size=40)}
+    table = spark.createDataFrame([(p,) for p in prints], "print long")
+    from lodegraph.llm.grouping import components
+
+    got = {r["node"]: r["root"] for r in components(simhash.links(table)).collect()}
+    want = components_by_hand({p: p for p in prints})
+    assert {p: got.get(p, p) for p in prints} == want
+
+
+# ---------------------------------------------------------------- search
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    rows += [(300 + i, rows[50][1]) for i in range(20)] + [(400, None), (401, [float("nan")] * 8), (450, [1.0, None]), (500, [1.0] * 3)]
+    table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in va_search.search(table, table["vec_id"] % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = {i: np.floor(256 * np.array(e, np.float32).astype(float)).astype(int) for i, e in rows if e and None not in e and np.isfinite(e).all()}
+    for q in [i for i in v if i % 50 == 0]:
+        best = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q and len(v[i]) == len(v[q])))[:5]
+        assert sorted(got.get(q, [])) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert va_search.search(table.limit(0), table["vec_id"] % 50 == 0).count() == 0
+
+
+# ---------------------------------------------------------------- pages
+
+
+def test_html(spark):
+    held_out = page_samples.labelled_pages(spark)
+    model = html_extract.fit(held_out.limit(150))
+    rows = held_out.collect()[150:250]
+    right = sum(html_extract.main_text(r["html"], model) == r["text"] for r in rows)
+    assert right >= 0.8 * len(rows)
+    odd_pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>"), (4, "u", "plain words"), (5, "u", "<div>" * 2000), (5, "u", "&amp;&#")]
+    got = html_extract.extract(spark.createDataFrame(odd_pages, "page_id long, url string, html string"), held_out.limit(20))
+    assert got.count() == len(odd_pages)
+    assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), held_out.limit(20)).count() == 0
+
+
+# ---------------------------------------------------------------- language model
+
+
+def test_language_model_counts(spark, documents):
+    got = {r["doc_id"]: r for r in llm.op3_gated_lm(spark, SMALL).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in documents.items() if not held(i) for w in [*words(t), None])
+    total, distinct = sum(counts.values()), len(counts)
+    for i, t in documents.items():
+        tokens = [*words(t), None]
+        base = sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens)
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held(i), len(tokens), total)
+        assert r["n_known"] == sum(counts[w] > 0 for w in tokens)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    out = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_language_model_is_a_distribution():
+    weight = np.array([50.0, 40.0, 9.0, 5.0, 5.0, 3.0, 1.0] * 30)
+    net = gated_lm.Network(np.sort(weight)[::-1])
+    h = np.random.default_rng(0).normal(size=(3, gated_lm.HIDDEN)).astype(np.float32)
+    all_ids = np.arange(len(weight))
+    for row in h:
+        logs = net.log_probabilities(np.repeat(row[None], len(weight), 0), all_ids)
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_language_model_state_is_carried(monkeypatch):
+    net = gated_lm.Network(np.arange(300.0, 0, -1))
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 300, n).astype(np.int32) for n in (1, 7, 300, 40)]
+    whole = gated_lm.log_likelihoods(net, texts)
+    monkeypatch.setattr(gated_lm, "SCORE_WINDOW", 5)
+    assert gated_lm.log_likelihoods(net, texts) == pytest.approx(whole, rel=1e-5)
+
+
+def test_language_model_gradient():
+    net = gated_lm.Network(np.arange(200.0, 0, -1))
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 5, 200).astype(np.int32) for _ in range(4)]
+    before = gated_lm.log_likelihoods(net, texts).sum()
+    for _ in range(20):
+        given, target, fresh, _, _ = gated_lm.woven(texts, 4, net.start)
+        net.learn(given, fresh, target, np.zeros((given.shape[1], gated_lm.HIDDEN), np.float32))
+    net._table = None
+    assert gated_lm.log_likelihoods(net, texts).sum() > before + 100
+
+
+def test_language_model_odd_rows(odd, empty):
+    assert gated_lm.score(odd).count() == odd.count()
+    assert all(np.isfinite(r["score"]) for r in gated_lm.score(odd).collect())
+    assert gated_lm.score(empty).count() == 0
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def spans_by_hand(text):
+    out = []
+    for kind, pattern, least in (
+        ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
+        ("access", r"AKIA[A-Z0-9]+", 20),
+        ("hex", r"[0-9a-f]+", 24),
+    ):
+        for m in re.finditer(pattern, text):
+            value = m[2] if kind == "assign" else m[0]
+            if len(value) >= least:
+                out.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def test_secrets(spark, odd, empty, documents):
+    keys = ["AKIA" + "Q7" * 8, "token = 'abcdef123456'", "é token:x.y-z/1", "f" * 23, "0a1b2c3d4e5f60718293a4b5", "PASSWD=ab", "secret=\U0001f600 api_key=aaaaaa"]
+    texts = [*documents.values(), *keys, " ".join(keys)]
+    got = secrets.scan(frame(spark, texts)).collect()
+    for r in got:
+        want = spans_by_hand(texts[r["doc_id"]])
+        assert r["base"] == ",".join(want)
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+    assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
+
+
+def test_random_strings_are_found(spark):
+    rng = np.random.default_rng(8)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    texts = [f"note {''.join(rng.choice(alphabet, 64))} end" for _ in range(40)] + ["thethethethethethethethe words", "a" * 64] * 20
+    got = {r["doc_id"]: r["n_random"] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert sum(got[i] for i in range(40)) >= 36 and sum(got[i] for i in range(40, 80)) == 0
+
+
+# ---------------------------------------------------------------- classifiers
+
+
+def accuracy(rows, labels, column):
+    known = {r["doc_id"]: r[column] for r in labels.collect() if r[column] is not None}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in known]
+    return sum(r["predicted"] == known[r["doc_id"]] for r in held) / len(held)
+
+
+@pytest.mark.parametrize("operator, column, least", [(quality, "quality", 0.85), (toxicity, "toxic", 0.9)])
+def test_classifiers(spark, odd, empty, operator, column, least):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rows = operator.score(docs, labels).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert accuracy(rows, labels, column) >= least
+    assert operator.score(odd, labels).count() == odd.count()
+    assert operator.score(odd, labels.limit(0)).count() == odd.count()
+    assert operator.score(empty, labels).count() == 0
+
+
+def test_segments_are_the_maximal_ones():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        score = [float(x) for x in rng.choice([1.0, 2.0, -1.5, -0.7], 12)]
+        at = [i for i, s in enumerate(score) if s > 0]
+        flat = [s if s > 0 else -1.0 for s in score]
+        got = {(a, b) for a, b, _ in toxicity.segments(at, [score[i] for i in at], 1.0)}
+
+        def best(low, high):
+            sums = [(sum(flat[a : b + 1]), -(b - a), -a, a, b) for a in range(low, high) for b in range(a, high)]
+            top = max(sums, default=(0, 0, 0, 0, 0))
+            return set() if top[0] <= 0 else {(top[3], top[4])} | best(low, top[3]) | best(top[4] + 1, high)
+
+        assert got == best(0, len(flat))
+
+
+# ---------------------------------------------------------------- bpe
+
+
+def test_bpe_agrees_with_the_library(spark, odd, empty, documents):
+    from tokenizers import Tokenizer
+
+    path = llm.vocabulary_path()
+    library = Tokenizer.from_file(path)
+    texts = [*list(documents.values())[:120], "<|endoftext|> a<|endoftext|>", "don't  stop\n\n\t 123abc é\U0001f600", "", "a" * 5000, " " * 300]
+    encoded = bpe.encode(frame(spark, texts), path)
+    got = {r["doc_id"]: r for r in bpe.decode(encoded, path).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert list(np.frombuffer(got[i]["ids"], "<u4")) == ids
+        assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert bpe.encode(odd, path).count() == odd.count() and bpe.encode(empty, path).count() == 0
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_mixing_meets_its_targets(spark, odd, empty):
+    docs = frame(spark, [f"w{i} " * (i % 90) for i in range(400)], None, [["a", "b", None, "c"][i % 4] for i in range(400)])
+    rows = mixing.taken(docs, block_words=16).collect()
+    again = mixing.taken(docs, block_words=16).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    sizes = {r["doc_id"]: len((docs_text or "").split()) for r, docs_text in ((r, f"w{r['doc_id']} " * (r["doc_id"] % 90)) for r in rows)}
+    assert all(r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    by_source = {}
+    for r in rows:
+        by_source.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    for (_, target), got in by_source.items():
+        assert sum(got) == pytest.approx(target, abs=1)
+    assert mixing.taken(odd).count() == odd.count() and mixing.taken(empty).count() == 0
+
+
+def test_permutations():
+    for n in (1, 2, 5, 1000):
+        at = np.arange(n)
+        image = mixing.permute(at, np.full(n, n), np.full(n, 77))
+        assert sorted(image) == list(range(n))
+        assert (mixing.permute(image, np.full(n, n), np.full(n, 77), back=True) == at).all()
