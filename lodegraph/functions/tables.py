@@ -22,9 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def row_count() -> Column:
+    return F.count(F.lit(1))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a written table, with the lineage that led to it cut off."""
-    return settled_counting(df, F.count(F.lit(1)))[0]
+    return settled_counting(df, row_count())[0]
 
 
 def settled_counting(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
@@ -46,7 +50,7 @@ class Layers:
         """Write a round; returns it and its number of rows."""
         self.schema = rows.schema
         seen, path = Observation(), f"{self.path}/{self.column}={number}"
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        rows.observe(seen, row_count().alias("n")).write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path), seen.get["n"] or 0
 
     def all(self) -> DataFrame:

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.functions.tables import Layers, settled, settled_counting
+from lodegraph.functions.tables import Layers, row_count, settled, settled_counting
 
 SMALL_EDGES = 500
-ROWS = F.count(F.lit(1))
 
 
 def proper(edges: DataFrame) -> DataFrame:
@@ -35,11 +34,11 @@ def closure(edges: DataFrame) -> DataFrame:
     Paths double in each round, so a graph of depth d takes log2(d) rounds.  Pairs of a
     node with itself are dropped: longer paths through them are found without them.
     """
-    reach, count = settled_counting(proper(edges), ROWS)
+    reach, count = settled_counting(proper(edges), row_count())
     while True:
         step = reach.alias("a").join(reach.alias("b"), F.col("a.target") == F.col("b.source"))
         longer = step.select(F.col("a.source"), F.col("b.target")).filter("source <> target")
-        reach, now = settled_counting(reach.unionByName(longer).distinct(), ROWS)
+        reach, now = settled_counting(reach.unionByName(longer).distinct(), row_count())
         if now == count:
             return reach
         count = now
@@ -92,12 +91,12 @@ def least_paths(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame
 
 def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges left, and their number, without nodes that have no edge in or no edge out, again and again."""
-    left, count = settled_counting(proper(edges), ROWS)
+    left, count = settled_counting(proper(edges), row_count())
     while count:
         kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
             left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
         )
-        left, now = settled_counting(kept.select("source", "target"), ROWS)
+        left, now = settled_counting(kept.select("source", "target"), row_count())
         if now == count:
             break
         count = now
@@ -130,7 +129,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     found = mutual.agg(F.least(F.min("target"), F.col("id")).alias("cycle"))
     for part in parts:
         found = found.unionByName(part)
-    real = found.groupBy("cycle").agg(ROWS.alias("n")).filter("n > 1").select("cycle")
+    real = found.groupBy("cycle").agg(row_count().alias("n")).filter("n > 1").select("cycle")
     return settled(found.join(real, "cycle").select("id", "cycle"))
 
 
@@ -140,7 +139,7 @@ def _spread(edges: DataFrame) -> DataFrame:
     Only nodes whose label changed push it on.
     """
     ids = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
-    label, changed = settled_counting(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("new")), ROWS)
+    label, changed = settled_counting(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("new")), row_count())
     while changed:
         front = label.filter("new").select(F.col("id").alias("source"), F.col("label").alias("pushed"))
         pushed = edges.join(front, "source").groupBy(F.col("target").alias("id")).agg(F.min("pushed").alias("pushed"))
@@ -176,7 +175,7 @@ def depths(edges: DataFrame) -> DataFrame:
     cycle = cycles(edges)
     links = settled(condensed(edges, cycle))
     ids = both_ways(links).select(F.col("source").alias("id")).distinct()
-    front, n = settled_counting(ids.select("id", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("new")), ROWS)
+    front, n = settled_counting(ids.select("id", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("new")), row_count())
     found = front
     while n:
         step = (
