@@ -34,6 +34,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE_WORDS = 150_000
 CACHE_PAIRS = 250_000
 NEVER = np.int64(1 << 40)
+NO_MERGE = (1 << 40, -1)
+SHORT_WORD = 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,7 +61,6 @@ class Bpe:
             self.token[i] = t
         for t, i in self.special.items():
             self.token[i] = t.encode()
-        self.longest = max(map(len, self.id_of))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merge, made = {}, np.full(size, -1, np.int64)
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
@@ -76,6 +77,10 @@ class Bpe:
         odd = self._crossed(left[whole], right[whole], skip_top=True)
         for i in whole[odd].tolist():
             self.id_of.pop(self.token[i], None)
+        self.reach: dict[bytes, int] = {}
+        for t in self.id_of:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+        self.byte = [self.id_of[bytes([b])] for b in range(256)]
         splits = "|".join(regex.escape(t) for t in self.special)
         self.split = regex.compile(f"({splits})") if splits else None
         self.words = regex.compile(PATTERN)
@@ -117,9 +122,9 @@ class Bpe:
         return crossed
 
     def _propose(self, word: bytes) -> list[int]:
-        out, at, end, ids = [], 0, len(word), self.id_of
+        out, at, end, ids, reach = [], 0, len(word), self.id_of, self.reach.get
         while at < end:
-            for to in range(min(end, at + self.longest), at, -1):
+            for to in range(min(end, at + reach(word[at : at + 2], 1)), at, -1):
                 token = ids.get(word[at:to])
                 if token is not None:
                     out.append(token)
@@ -129,7 +134,28 @@ class Bpe:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact BPE of one word: lowest rank first, leftmost of equals."""
-        ids = [self.id_of[bytes([b])] for b in word]
+        ids = [self.byte[b] for b in word]
+        return self._merged_long(ids) if len(ids) > SHORT_WORD else self._merged_short(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """Each step looks for the lowest rank among all pairs: quadratic, yet quick for short words."""
+        merge = self.merge.get
+        found = [merge(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is NO_MERGE:
+                break
+            at = found.index(best)
+            ids[at : at + 2] = [best[1]]
+            del found[at]
+            if at:
+                found[at - 1] = merge((ids[at - 1], ids[at]), NO_MERGE)
+            if at < len(found):
+                found[at] = merge((ids[at], ids[at + 1]), NO_MERGE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with the pairs in a heap."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = []
         for i in range(len(ids) - 1):
