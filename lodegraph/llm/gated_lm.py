@@ -9,9 +9,9 @@
    of its group times its share (c + 1) / (count + words + 1) of the group's counts, so
    an unknown word has the same add-one share that it has in the base score.
 3. Training is truncated backpropagation in numpy over windows of WINDOW tokens with
-   the state carried from window to window.  Trainers work on SAMPLE_SHARE of the
-   training rows (more where that is under LEAST_TOKENS), each on about TRAINER_TOKENS,
-   and Spark averages their parameters after each round.
+   the state carried from window to window.  All training rows are dealt into packs of
+   about TRAINER_TOKENS, whatever the input's size; each pack has its own trainer, and
+   Spark averages their parameters after each of ROUNDS passes over all packs.
 4. Scoring runs lanes of documents side by side; a document's state is carried across
    windows from its first to its last token.  Words outside the table take their count
    from an equality join with the table of counts.
@@ -32,6 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,8 @@ GROUPS = 128
 CLASSES = 48
 EMBED, HIDDEN = 16, 16
 WINDOW, TRAIN_LANES, SCORE_LANES, SCORE_WINDOW = 32, 64, 512, 48
-SAMPLE_SHARE = 1 / 64
-LEAST_TOKENS = 1_000_000
 TRAINER_TOKENS = 250_000
+TASK_TRAINERS = 8
 ROUNDS = 3
 RATE = 0.08
 CLIP = 5.0
@@ -311,22 +311,27 @@ class Network:
         d_pushed = np.zeros((*given.shape, 3 * HIDDEN), np.float32)
         d_back_all = np.zeros_like(d_pushed)
         dh = np.zeros_like(h)
-        two = 2 * HIDDEN
+        before, z, r, new, back = (np.stack(x) for x in zip(*keep))
+        of_new = (1 - z) * (1 - new * new)
+        of_both = np.concatenate([(before - new) * z * (1 - z), of_new * back * r * (1 - r), of_new * r], axis=2)
+        of_both, turned = of_both.reshape(*given.shape, 3, HIDDEN), np.ascontiguousarray(self.back.T)
+        d_back, live = d_back_all.reshape(of_both.shape), (~fresh)[:, :, None]
+        stays = ~fresh.any(1)
+        dhs = np.empty_like(out)
         for t in range(len(given) - 1, -1, -1):
-            before, z, r, new, back = keep[t]
-            dh = dh + d_out[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (before - new) * z * (1 - z)
-            d_r = d_new * back * r * (1 - r)
-            d_pushed[t] = np.hstack([d_z, d_r, d_new])
-            d_back_all[t] = np.hstack([d_z, d_r, d_new * r])
-            dh = dh * z + d_back_all[t] @ self.back.T
-            dh *= ~fresh[t][:, None]
-        firsts = np.stack([k[0] for k in keep]).reshape(-1, HIDDEN)
+            dh = np.add(dh, d_out[t], out=dhs[t])
+            np.multiply(of_both[t], dh[:, None], out=d_back[t])
+            dh = dh * z[t]
+            dh += d_back_all[t] @ turned
+            if not stays[t]:
+                dh *= live[t]
+        two = 2 * HIDDEN
+        d_pushed[:, :, :two], d_pushed[:, :, two:] = d_back_all[:, :, :two], dhs * of_new
+        firsts = before.reshape(-1, HIDDEN)
         flat = d_pushed.reshape(-1, 3 * HIDDEN)
-        seen, at = np.unique(given.ravel(), return_inverse=True)
-        d_embed = np.zeros((len(seen), EMBED), np.float32)
-        np.add.at(d_embed, at.ravel(), flat @ self.into.T)
+        order = np.argsort(given.ravel(), kind="stable")
+        seen, first = np.unique(given.ravel()[order], return_index=True)
+        d_embed = np.add.reduceat((flat @ self.into.T)[order], first)
         steps += [
             ("back", ..., firsts.T @ d_back_all.reshape(-1, 3 * HIDDEN)),
             ("into", ..., self.embed[given.ravel()].T @ flat),
@@ -387,13 +392,38 @@ def log_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-def _trained(vocabulary, weights, turn: int):
+def _encoded(vocabulary):
     def run(batches):
-        words, texts = vocabulary.value, []
+        words = vocabulary.value
         for batch in batches:
-            texts += [words.read(t)[0] for t in text_bytes(batch.column("text"))]
-        if not texts:
-            return
+            ids = [words.read(t)[0].astype("<u2").tobytes() for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
+def _packed(batches):
+    def pack(held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([[len(t) // 2 for t in held]], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())],
+            names=["lengths", "ids"],
+        )
+
+    held, tokens = [], 0
+    for batch in batches:
+        for text in batch.column("ids").to_pylist():
+            held.append(text)
+            tokens += len(text) // 2
+            if tokens >= TRAINER_TOKENS:
+                yield pack(held)
+                held, tokens = [], 0
+    if held:
+        yield pack(held)
+
+
+def _trained(vocabulary, weights, turn: int):
+    def learnt(words, lengths, ids):
+        texts = np.split(np.frombuffer(ids, "<u2").astype(np.int32), np.cumsum(lengths)[:-1])
         rng = np.random.default_rng([SEED, turn])
         texts = [texts[i] for i in rng.permutation(len(texts))]
         net = Network(words.weight, weights.value.copy())
@@ -402,15 +432,23 @@ def _trained(vocabulary, weights, turn: int):
         for at in range(0, len(given), WINDOW):
             part = slice(at, at + WINDOW)
             h = net.learn(given[part], fresh[part], target[part], h)
-        tokens = float(sum(map(len, texts)))
-        for block, low in enumerate(range(0, len(net.vector), BLOCK_FLOATS)):
-            values = net.vector[low : low + BLOCK_FLOATS].astype(np.float64) * tokens
+        return net.vector.astype(np.float64) * sum(lengths)
+
+    def run(batches):
+        words, total, tokens = vocabulary.value, 0, 0
+        for batch in batches:
+            for lengths, ids in zip(batch.column("lengths").to_pylist(), batch.column("ids").to_pylist()):
+                total, tokens = total + learnt(words, lengths, ids), tokens + sum(lengths)
+        if not tokens:
+            return
+        task = TaskContext.get().partitionId()
+        for block, low in enumerate(range(0, len(total), BLOCK_FLOATS)):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int32()),
-                    pa.array([int(rng.integers(1 << 62))], pa.int64()),
-                    pa.array([tokens], pa.float64()),
-                    pa.array([values.tobytes()], pa.binary()),
+                    pa.array([task], pa.int64()),
+                    pa.array([float(tokens)], pa.float64()),
+                    pa.array([total[low : low + BLOCK_FLOATS].tobytes()], pa.binary()),
                 ],
                 names=["block", "trainer", "tokens", "total"],
             )
@@ -435,7 +473,7 @@ PARTS = "block int, trainer long, tokens double, total binary"
 
 
 def averaged(parts: DataFrame, trainers: int) -> np.ndarray | None:
-    """Token-weighted mean of the trainers' vectors; FAN_IN of them meet in one group at most, about."""
+    """Token-weighted mean of the vectors of each task's trainers; FAN_IN tasks meet in one group at most, about."""
     while trainers > 1:
         trainers = -(-trainers // FAN_IN)
         salt = F.pmod(F.xxhash64("trainer"), F.lit(trainers))
@@ -448,22 +486,17 @@ def averaged(parts: DataFrame, trainers: int) -> np.ndarray | None:
 
 
 def train(docs: DataFrame, words: Vocabulary, sent) -> np.ndarray:
-    """Parameters learnt from a share of the training rows (doc_id, text); sent: broadcast words."""
+    """Parameters learnt from all training rows (doc_id, text); sent: broadcast words."""
     spark = docs.sparkSession
-    share = min(1.0, max(SAMPLE_SHARE, LEAST_TOKENS / max(1, words.tokens)))
-    trainers = max(1, round(share * words.tokens / TRAINER_TOKENS))
-    chosen = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = stored(docs.filter(chosen).select("doc_id", "text").repartition(trainers), "sample")
+    tasks = max(1, round(words.tokens / (TRAINER_TOKENS * TASK_TRAINERS)))
+    encoded = docs.select("doc_id", "text").mapInArrow(_encoded(sent), "doc_id long, ids binary")
+    dealt = encoded.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids")
+    packs = stored(dealt.mapInArrow(_packed, "lengths array<long>, ids binary"), "packs")
     vector = Network(words.weight).vector
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(vector)
-        dealt = (
-            sample.repartition(trainers)
-            .sortWithinPartitions(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-            .select("text")
-        )
-        parts = stored(dealt.mapInArrow(_trained(sent, start, turn), PARTS), "round")
-        found = averaged(parts, trainers)
+        parts = stored(packs.mapInArrow(_trained(sent, start, turn), PARTS), "round")
+        found = averaged(parts, tasks)
         vector = vector if found is None else found
     return vector
 

@@ -238,6 +238,22 @@ def test_language_model_gradient():
     assert gated_lm.log_likelihoods(net, texts).sum() > before + 100
 
 
+def test_language_model_trains_on_all_rows(spark, monkeypatch):
+    text = "concat_ws(' ', transform(sequence(1, 1000), x -> concat('w', pmod(hash(id, x), 300))))"
+    docs = spark.range(0, 1500, 1, 4).selectExpr("id as doc_id", f"{text} as text")
+    reached, averaged = [], gated_lm.averaged
+
+    def seen(parts, trainers):
+        reached.append(parts.filter("block = 0").agg(F.sum("tokens")).first()[0])
+        return averaged(parts, trainers)
+
+    monkeypatch.setattr(gated_lm, "averaged", seen)
+    monkeypatch.setattr(gated_lm, "ROUNDS", 1)
+    tokens = gated_lm.score(docs).first()["train_tokens"]
+    assert tokens > 1_200_000
+    assert reached == [tokens]
+
+
 def test_language_model_odd_rows(odd, empty):
     assert gated_lm.score(odd).count() == odd.count()
     assert all(np.isfinite(r["score"]) for r in gated_lm.score(odd).collect())
