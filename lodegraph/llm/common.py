@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, stored with a number for each row, and the name of the number's column."""
+    name = "_row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

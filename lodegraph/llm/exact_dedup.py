@@ -21,10 +21,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small_batches, stored, text_bytes
+from lodegraph.llm.common import numbered, small_batches, stored, text_bytes
 
 SENDER_ROWS = 1 << 20
 OWNER_ROWS = 1 << 18
@@ -68,8 +68,13 @@ def _digests(fingerprint_bits: int):
                 prints.append(xxhash.xxh3_64_intdigest(norm) & mask)
                 digests.append(hashlib.sha256(norm).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(digests, pa.binary())],
-                names=["doc_id", "print", "digest"],
+                [
+                    batch.column("doc_id"),
+                    pa.array(prints, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    batch.column("row"),
+                ],
+                names=["doc_id", "print", "digest", "row"],
             )
 
     return run
@@ -162,18 +167,18 @@ def _filter(suspects: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def classes(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest: one row for each row of docs.
+def classes(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS, row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest, row: one row for each row of docs.
 
-    Texts are equal when identical after lower-casing A-Z.  docs: doc_id, text.
+    Texts are equal when identical after lower-casing A-Z.  docs: doc_id, text and, if
+    named, a column of row numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row"))
     marked = stored(
-        texts.mapInArrow(_digests(fingerprint_bits), "doc_id long, print long, digest binary").withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
+        texts.mapInArrow(_digests(fingerprint_bits), "doc_id long, print long, digest binary, row long"),
         "fingerprints",
     )
     total = marked.count()
@@ -230,15 +235,8 @@ def _decide(marked: DataFrame, suspects: DataFrame, total: int) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of equal texts; columns unchanged.
 
-    Rows are kept by doc_id; of repeated rows with one doc_id and text one stays.
+    Rows are told apart by a stored number, so repeated and null doc_ids lose no text.
     """
-    gone = classes(docs).filter(~F.col("kept")).select("doc_id", F.col("keep_id").alias("stays"))
-    same = gone.filter(F.col("doc_id").eqNullSafe(F.col("stays"))).select("doc_id").distinct()
-    other = gone.filter(~F.col("doc_id").eqNullSafe(F.col("stays"))).select("doc_id").distinct()
-    left = docs.join(other, docs["doc_id"].eqNullSafe(other["doc_id"]), "left_anti")
-    if not same.take(1):
-        return left
-    twice = left.join(same, left["doc_id"].eqNullSafe(same["doc_id"]), "left_semi")
-    once = left.join(same, left["doc_id"].eqNullSafe(same["doc_id"]), "left_anti")
-    order = Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.lit(1))
-    return once.unionByName(twice.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth"))
+    rows, row = numbered(docs)
+    gone = classes(rows, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)

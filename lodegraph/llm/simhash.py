@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small_batches, stored, text_bytes
+from lodegraph.llm.common import numbered, small_batches, stored, text_bytes
 from lodegraph.llm.grouping import components, join_groups
 
 SHINGLE_WORDS = 5
@@ -55,17 +55,22 @@ def _fingerprints(shingle_words: int):
             prints = [fingerprint(t, shingle_words) for t in text_bytes(batch.column("text"))]
             signed = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(signed, pa.int64())], names=["doc_id", "print"]
+                [batch.column("doc_id"), pa.array(signed, pa.int64()), batch.column("row")],
+                names=["doc_id", "print", "row"],
             )
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, print: the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, row: str | None = None) -> DataFrame:
+    """doc_id, print, row: the fingerprint of every row as a signed long.
+
+    row: the column of row numbers, if docs has one.
+    """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _fingerprints(shingle_words), "doc_id long, print long"
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row")).mapInArrow(
+        _fingerprints(shingle_words), "doc_id long, print long, row long"
     )
 
 
@@ -170,27 +175,39 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.filter("kind = 0").unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, print, component_id: one row for each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, row: str | None = None) -> DataFrame:
+    """doc_id, print, component_id, row, kept: one row for each row of docs (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of at most DISTANCE bits.
+    component_id is the smallest doc_id reachable over links of at most DISTANCE bits;
+    kept holds for one row of each component, of those with that doc_id the first.
     """
-    marked = stored(fingerprints(docs, shingle_words), "fingerprints")
+    marked = stored(fingerprints(docs, shingle_words, row), "fingerprints")
     total = marked.count()
     groups = stored(
-        marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "distinct"
+        marked.groupBy("print").agg(
+            F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("least"),
+            F.count(F.lit(1)).alias("size"),
+        ),
+        "distinct",
     )
     member = components(links(groups.select("print"))).withColumnRenamed("node", "print")
     rooted = groups.join(member, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(least, "root").select("print", "size", "component_id")
-    return join_groups(marked, placed, "print", "size", total).select("doc_id", "print", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    placed = rooted.drop("least").join(least, "root").select("print", "size", "first")
+    return join_groups(marked, placed, "print", "size", total).select(
+        "doc_id",
+        "print",
+        F.col("first.doc_id").alias("component_id"),
+        "row",
+        (F.col("row") == F.col("first.row")).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """docs with only the smallest doc_id of each component; columns unchanged.
+    """docs with one row of each component, of the smallest doc_id; columns unchanged.
 
-    Rows without doc_id stay, and so do repeated rows of the doc_id that stays.
+    Rows are told apart by a stored number; rows without doc_id are the last choice.
     """
-    gone = near_duplicates(docs, shingle_words).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    rows, row = numbered(docs)
+    gone = near_duplicates(rows, shingle_words, row).filter("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)

@@ -49,3 +49,26 @@ def test_odd_documents(spark):
         docs = spark.createDataFrame(data, schema)
         for _, stage in corpus_pipeline.STAGES[1:]:
             assert stage(spark, docs, SF_DIR).count() <= 2 * len(data)
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue", "green", "pink", "grey")]
+    pairs = [(9, 0), (5, 0), (5, 1), (None, 0), (None, 2), (None, 2), (None, 3), (7, 4), (7, 4)]
+    docs = spark.createDataFrame([(i, texts[t], "en", "a", len(texts[t])) for i, t in pairs], schema)
+    whole = sorted([(9, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4])], key=str)
+    got = corpus_pipeline.distinct_texts(spark, docs, SF_DIR).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == whole
+    got = corpus_pipeline.distinct_contents(spark, docs, SF_DIR).collect()
+    assert sorted((r["text"] for r in got)) == sorted(texts)
+    assert (5, texts[0]) in {(r["doc_id"], r["text"]) for r in got}
+
+
+def test_quality_judges_each_row_of_a_null_or_repeated_id(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(*COLUMNS)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rated = llm.op6_quality(spark, SF_DIR).orderBy("score", "doc_id").collect()
+    bad, good = text[rated[0]["doc_id"]], text[rated[-1]["doc_id"]]
+    odd = [(i, "en", len(t), "odd", t) for i in (None, 10**9) for t in (bad, good)]
+    kept = corpus_pipeline.good_documents(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), SF_DIR)
+    assert {(r["doc_id"], r["text"]) for r in kept.filter("source = 'odd'").collect()} == {(None, good), (10**9, good)}
