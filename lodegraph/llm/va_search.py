@@ -6,15 +6,17 @@ below and above; candidates are vectors whose upper bound reaches the k-th lower
 Exact vectors are then read in the order of their bounds: first the k best bounds of
 each query, and, once these give a k-th exact score, those whose bound still reaches it.
 
-Queries are broadcast in chunks of at most QUERY_CHUNK rows, against all rows.  Of equal
-vectors only the k + 1 smallest ids can ever be results, so longer groups of copies are
-cut to these before the scan.
+Queries are broadcast in chunks of at most QUERY_CHUNK rows, against all rows.  Every row
+has a stored number by which it is bounded, scored and joined.  Of equal vectors only k
+rows of each id, and of these the 2k rows with the smallest ids, can ever be results: a
+query skips at most k rows of its own id.  Longer groups of copies are cut to these.
 
 Defined results: vectors that are null, or hold null or non-finite components, or
 components of 2**20 and more (their products overflow a long), take no part, nor do rows
 without vec_id; only vectors of one length are compared; a query is its vec_id, and rows
-with that vec_id are no candidates of it; repeated queries count once; an empty table
-gives an empty result.
+with that vec_id are no candidates of it; each row of a repeated vec_id is a candidate
+and a query of its own, and a vec_id's rank is over the results of all its rows; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ def _cells(low: int, width: int):
             ends = np.cumsum(np.asarray(batch.column("dims"), np.int64))
             codes = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("dims"), pa.array(codes, pa.binary())],
-                names=["vec_id", "dims", "codes"],
+                [batch.column("row"), batch.column("vec_id"), batch.column("dims"), pa.array(codes, pa.binary())],
+                names=["row", "vec_id", "dims", "codes"],
             )
 
     return run
@@ -65,17 +67,19 @@ def _cells(low: int, width: int):
 class _Scan:
     """Bounds of one task: running k-th lower bounds and the candidates above them."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, low: int, width: int):
+    def __init__(self, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int, low: int, width: int):
         self.ids, self.queries, self.k, self.low, self.width = ids, queries.astype(np.float64), k, low, width
         self.slack = np.abs(self.queries).sum(1) * (width - 1) / 2
         self.best = np.full((len(ids), k), -np.inf)
-        self.place = {int(i): n for n, i in enumerate(ids)}
+        self.place: dict[int, list[int]] = {}
+        for n, i in enumerate(own.tolist()):
+            self.place.setdefault(i, []).append(n)
         self.held: list[tuple] = []
         self.n_held = 0
 
-    def add(self, vec_ids: np.ndarray, codes: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, vec_ids: np.ndarray, codes: np.ndarray) -> None:
         middle = self.low + codes.astype(np.float64) * self.width + (self.width - 1) / 2
-        own = [(self.place[i], n) for n, i in enumerate(vec_ids.tolist()) if i in self.place]
+        own = [(q, n) for n, i in enumerate(vec_ids.tolist()) for q in self.place.get(i, ())]
         for at in range(0, len(self.ids), QUERY_BLOCK):
             to = at + QUERY_BLOCK
             score = self.queries[at:to] @ middle.T
@@ -87,7 +91,7 @@ class _Scan:
             self.best[at:to] = np.sort(np.hstack([self.best[at:to], top]), axis=1)[:, -self.k :]
             reach = self.best[at:to, 0] - self.slack[at:to]
             q, n = np.nonzero((score >= reach[:, None]) & (score > -np.inf))
-            self.held.append((q + at, vec_ids[n], score[q, n]))
+            self.held.append((q + at, rows[n], score[q, n]))
             self.n_held += len(q)
         if self.n_held > HELD_CANDIDATES:
             self._thin()
@@ -102,21 +106,22 @@ class _Scan:
         q, n, s = self.held[0]
         return pa.RecordBatch.from_arrays(
             [pa.array(self.ids[q]), pa.array(n), pa.array(s - self.slack[q]), pa.array(s + self.slack[q])],
-            names=["query_id", "vec_id", "lower", "upper"],
+            names=["query", "row", "lower", "upper"],
         )
 
 
 def _candidates(queries, k: int, low: int, width: int):
     def run(batches):
-        scans = {d: _Scan(ids, vs, k, low, width) for d, (ids, vs) in queries.value.items()}
+        scans = {d: _Scan(*of, k, low, width) for d, of in queries.value.items()}
         for batch in batches:
             dims = np.asarray(batch.column("dims"))
-            ids, codes = np.asarray(batch.column("vec_id")), batch.column("codes").to_pylist()
+            numbers, ids = np.asarray(batch.column("row")), np.asarray(batch.column("vec_id"))
+            codes = batch.column("codes").to_pylist()
             for d in np.unique(dims).tolist():
                 if d in scans:
                     rows = np.flatnonzero(dims == d)
                     flat = np.frombuffer(b"".join(codes[i] for i in rows), np.uint8)
-                    scans[d].add(ids[rows], flat.reshape(len(rows), d))
+                    scans[d].add(numbers[rows], ids[rows], flat.reshape(len(rows), d))
         for scan in scans.values():
             if scan.held:
                 yield scan.found()
@@ -125,17 +130,17 @@ def _candidates(queries, k: int, low: int, width: int):
 
 
 def _kth(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
-    """query_id, name: the k-th largest value of each query that has k."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(value))
-    ranked = rows.select("query_id", value, F.row_number().over(order).alias("_n")).filter(f"_n <= {k}")
-    return ranked.filter(f"_n = {k}").select("query_id", F.col(value).alias(name))
+    """query, name: the k-th largest value of each query that has k."""
+    order = Window.partitionBy("query").orderBy(F.desc(value))
+    ranked = rows.select("query", value, F.row_number().over(order).alias("_n")).filter(f"_n <= {k}")
+    return ranked.filter(f"_n = {k}").select("query", F.col(value).alias(name))
 
 
 def _exact(wanted: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """wanted (query_id, vec_id, ...) with the exact score."""
+    """wanted (query, row, ...) with the ids and the exact score."""
     product = "aggregate(zip_with(v, q, (a, b) -> cast(a as long) * b), 0L, (s, x) -> s + x)"
-    return wanted.join(vectors.select("vec_id", "v"), "vec_id").join(queries, "query_id").select(
-        "query_id", "vec_id", F.expr(product).alias("score")
+    return wanted.join(vectors.select("row", "vec_id", "v"), "row").join(queries, "query").select(
+        "query", "query_id", "vec_id", F.expr(product).alias("score")
     )
 
 
@@ -146,45 +151,47 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    all_rows = stored(usable(vectors), "integers")
-    copy = Window.partitionBy("v").orderBy("vec_id")
-    rows = stored(
-        all_rows.withColumn("_n", F.row_number().over(copy)).filter(f"_n <= {k + 1}").drop("_n"), "candidates"
-    )
+    all_rows = stored(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "integers")
+    repeat = Window.partitionBy("v", "vec_id").orderBy("row")
+    copy = Window.partitionBy("v").orderBy("vec_id", "row")
+    few = all_rows.withColumn("_n", F.row_number().over(repeat)).filter(f"_n <= {k}")
+    rows = stored(few.withColumn("_n", F.row_number().over(copy)).filter(f"_n <= {2 * k}").drop("_n"), "candidates")
     span = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     low, high = (int(span[0]), int(span[1])) if span[0] is not None else (0, 0)
     width = -(-(high - low + 1) // (1 << CELL_BITS))
     approximations = stored(
-        rows.mapInArrow(_cells(low, width), "vec_id long, dims int, codes binary"), "approximations"
+        rows.mapInArrow(_cells(low, width), "row long, vec_id long, dims int, codes binary"), "approximations"
     )
-    queries = stored(all_rows.filter(is_query).dropDuplicates(["vec_id"]), "queries")
+    queries = stored(all_rows.filter(is_query), "queries")
     total = queries.count()
     # Twice the chunks needed on average, so that no chunk of hashed ids exceeds QUERY_CHUNK.
     chunks = 1 if total <= QUERY_CHUNK else -(-2 * total // QUERY_CHUNK)
     found = None
     for chunk in range(chunks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk).toArrow()
+        part = queries.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == chunk).toArrow()
         dims = part.column("dims").to_numpy()
-        ids, flat = part.column("vec_id").to_numpy(), part.column("v")
+        numbers, ids, flat = part.column("row").to_numpy(), part.column("vec_id").to_numpy(), part.column("v")
         by_dims = {}
         for d in np.unique(dims).tolist():
             mine = np.flatnonzero(dims == d)
             values = flat.take(pa.array(mine)).combine_chunks().flatten()
-            by_dims[d] = ids[mine], np.asarray(values, np.int64).reshape(len(mine), d)
+            by_dims[d] = numbers[mine], ids[mine], np.asarray(values, np.int64).reshape(len(mine), d)
         sent = spark.sparkContext.broadcast(by_dims)
         bounds = approximations.mapInArrow(
-            _candidates(sent, k, low, width), "query_id long, vec_id long, lower double, upper double"
+            _candidates(sent, k, low, width), "query long, row long, lower double, upper double"
         )
         found = bounds if found is None else found.unionByName(bounds)
     found = stored(found, "bounds")
-    open_ = found.join(_kth(found, "lower", k, "least"), "query_id", "left").filter(
+    open_ = found.join(_kth(found, "lower", k, "least"), "query", "left").filter(
         "least is null or upper >= least"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "row")
     waves = stored(open_.withColumn("_n", F.row_number().over(order)), "ordered")
-    query_rows = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    query_rows = queries.select(
+        F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")
+    )
     first = stored(_exact(waves.filter(f"_n <= {k}"), rows, query_rows), "first")
-    second = waves.filter(f"_n > {k}").join(_kth(first, "score", k, "certain"), "query_id").filter("upper >= certain")
+    second = waves.filter(f"_n > {k}").join(_kth(first, "score", k, "certain"), "query").filter("upper >= certain")
     scores = first.unionByName(_exact(second, rows, query_rows))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {k}").select(

@@ -172,6 +172,21 @@ def test_top_k(spark):
     assert va_search.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
+    rows += [(7, rows[7][1])] + [(8, rows[8][1])] * 2 + [(9, rows[60][1]), (50, rows[70][1])]
+    rows += [(100, rows[100][1])] * 7 + [(200 + i, rows[100][1]) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in va_search.search(table, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = [(i, np.floor(256 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in rows]
+    for q in (0, 50, 100, 200):
+        best = sorted((-int(a @ b), j) for i, a in v if i == q for j, b in v if j != q)[:5]
+        assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+
+
 # ---------------------------------------------------------------- pages
 
 
