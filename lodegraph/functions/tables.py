@@ -13,9 +13,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, removed with the session.
 
-    Only where that setting is missing, as in tests, a local folder takes its place.
+    Only in local mode, as in tests, a temporary folder takes its place where it is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lodegraph-")
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
