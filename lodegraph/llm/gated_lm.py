@@ -8,10 +8,12 @@
    then the output within its class.  A word outside the shortlist has the probability
    of its group times its share (c + 1) / (count + words + 1) of the group's counts, so
    an unknown word has the same add-one share that it has in the base score.
-3. Training is truncated backpropagation in numpy over windows of WINDOW tokens with
-   the state carried from window to window.  All training rows are dealt into packs of
-   about TRAINER_TOKENS, whatever the input's size; each pack has its own trainer, and
-   Spark averages their parameters after each of ROUNDS passes over all packs.
+3. Every text is turned into output ids once; training and scoring read these.
+   Training is truncated backpropagation in numpy over windows of WINDOW tokens with
+   the state carried from window to window; texts longer than PIECE tokens come to the
+   trainer in pieces.  All training rows are dealt into packs of about TRAINER_TOKENS,
+   whatever the input's size; each pack has its own trainer, and Spark averages their
+   parameters after each pass over all packs (rounds, one by default).
 4. Scoring runs lanes of documents side by side; a document's state is carried across
    windows from its first to its last token.  Words outside the table take their count
    from an equality join with the table of counts.
@@ -40,15 +42,16 @@ from lodegraph.llm.common import crc_remainder, small_batches, stored, text_byte
 
 FOLDS, HELD_OUT = 7, 2
 TABLE_WORDS = 1 << 18
-SHORTLIST = 2048
+SHORTLIST = 1024
 GROUPS = 128
-CLASSES = 48
+CLASSES = 32
 EMBED, HIDDEN = 16, 16
-WINDOW, TRAIN_LANES, SCORE_LANES, SCORE_WINDOW = 32, 64, 512, 48
-TRAINER_TOKENS = 250_000
-TASK_TRAINERS = 8
-ROUNDS = 3
-RATE = 0.08
+WINDOW, TRAIN_LANES, SCORE_LANES, SCORE_WINDOW = 64, 128, 512, 48
+TRAINER_TOKENS = 1_000_000
+TASK_TRAINERS = 2
+PIECE = 4096
+ROUNDS = 1
+RATE = 0.12
 CLIP = 5.0
 LIMIT = 60.0
 SEED = 11
@@ -190,6 +193,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _softmax_error(logits: np.ndarray, target: np.ndarray, scale: float) -> np.ndarray:
+    """Gradient of scale times the negative log-softmax of each row's target, in place of the logits."""
+    np.clip(logits, -LIMIT, LIMIT, out=logits)
+    np.exp(logits, out=logits)
+    logits *= scale / logits.sum(1, keepdims=True)
+    logits[np.arange(len(target)), target] -= scale
+    return logits
+
+
 class Network:
     """A gated recurrent unit with a class-factored softmax; float32 parameters in one vector."""
 
@@ -286,25 +298,18 @@ class Network:
         if not len(rows):
             return out[-1]
         of, scale = self.class_of[wanted], 1 / TRAIN_LANES
-        logits = rows @ self.class_out + self.class_bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(rows)), of] -= 1
-        p *= scale
+        order = np.argsort(of.astype(np.uint16), kind="stable")
+        at_t, lane, rows, wanted, of = at_t[order], lane[order], rows[order], wanted[order], of[order]
+        p = _softmax_error(rows @ self.class_out + self.class_bias, of, scale)
         push = p @ self.class_out.T
         steps = [("class_out", ..., rows.T @ p), ("class_bias", ..., p.sum(0))]
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(self.n_classes + 1))
+        edges = np.searchsorted(of, np.arange(self.n_classes + 1)).tolist()
         for c in range(self.n_classes):
-            mine, low, high = order[edges[c] : edges[c + 1]], self.low[c], self.low[c + 1]
-            if len(mine) and high - low > 1:
-                part = slice(low, high)
-                inner = rows[mine] @ self.word_out[part].T + self.word_bias[part]
-                q = np.exp(inner - inner.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(mine)), wanted[mine] - low] -= 1
-                q *= scale
-                push[mine] += q @ self.word_out[part]
+            mine, part = slice(edges[c], edges[c + 1]), slice(self.low[c], self.low[c + 1])
+            if mine.stop > mine.start and part.stop - part.start > 1:
+                words = self.word_out[part]
+                q = _softmax_error(rows[mine] @ words.T + self.word_bias[part], wanted[mine] - part.start, scale)
+                push[mine] += q @ words
                 steps += [("word_out", part, q.T @ rows[mine]), ("word_bias", part, q.sum(0))]
         d_out = np.zeros_like(out)
         d_out[at_t, lane] = push
@@ -329,9 +334,10 @@ class Network:
         d_pushed[:, :, :two], d_pushed[:, :, two:] = d_back_all[:, :, :two], dhs * of_new
         firsts = before.reshape(-1, HIDDEN)
         flat = d_pushed.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(given.ravel(), kind="stable")
-        seen, first = np.unique(given.ravel()[order], return_index=True)
-        d_embed = np.add.reduceat((flat @ self.into.T)[order], first)
+        order = np.argsort(given.ravel().astype(np.uint16), kind="stable")
+        inputs = given.ravel()[order]
+        first = np.flatnonzero(np.diff(inputs, prepend=-1))
+        seen, d_embed = inputs[first], np.add.reduceat((flat @ self.into.T)[order], first)
         steps += [
             ("back", ..., firsts.T @ d_back_all.reshape(-1, 3 * HIDDEN)),
             ("into", ..., self.embed[given.ravel()].T @ flat),
@@ -392,12 +398,34 @@ def log_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
+ENCODED = "doc_id long, n_tokens long, known long, base double, share double, rest array<struct<key:binary,n:long>>, ids binary"
+
+
 def _encoded(vocabulary):
+    """Each text as output ids, with what the vocabulary knows of its score."""
+
     def run(batches):
         words = vocabulary.value
         for batch in batches:
-            ids = [words.read(t)[0].astype("<u2").tobytes() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            found = [words.read(t) for t in text_bytes(batch.column("text"))]
+            flat = [x for r in found for x in r[4].items()]
+            pairs = pa.StructArray.from_arrays(
+                [pa.array([k for k, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())],
+                fields=[pa.field("key", pa.binary()), pa.field("n", pa.int64())],
+            )
+            ends = np.cumsum([0, *(len(r[4]) for r in found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(r[0]) for r in found], pa.int64()),
+                    pa.array([r[1] for r in found], pa.int64()),
+                    pa.array([r[2] for r in found], pa.float64()),
+                    pa.array([r[3] for r in found], pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pairs),
+                    pa.array([r[0].astype("<u2").tobytes() for r in found], pa.binary()),
+                ],
+                names=["doc_id", "n_tokens", "known", "base", "share", "rest", "ids"],
+            )
 
     return run
 
@@ -425,6 +453,7 @@ def _trained(vocabulary, weights, turn: int):
     def learnt(words, lengths, ids):
         texts = np.split(np.frombuffer(ids, "<u2").astype(np.int32), np.cumsum(lengths)[:-1])
         rng = np.random.default_rng([SEED, turn])
+        texts = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
         texts = [texts[i] for i in rng.permutation(len(texts))]
         net = Network(words.weight, weights.value.copy())
         given, target, fresh, _, _ = woven(texts, TRAIN_LANES, net.start)
@@ -485,15 +514,14 @@ def averaged(parts: DataFrame, trainers: int) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(v, np.float64) / n for v, n in zip(totals, tokens)]).astype(np.float32)
 
 
-def train(docs: DataFrame, words: Vocabulary, sent) -> np.ndarray:
-    """Parameters learnt from all training rows (doc_id, text); sent: broadcast words."""
-    spark = docs.sparkSession
+def train(encoded: DataFrame, words: Vocabulary, sent, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters learnt from all rows of encoded (row, ids); sent: broadcast words."""
+    spark = encoded.sparkSession
     tasks = max(1, round(words.tokens / (TRAINER_TOKENS * TASK_TRAINERS)))
-    encoded = docs.select("doc_id", "text").mapInArrow(_encoded(sent), "doc_id long, ids binary")
-    dealt = encoded.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "ids")
+    dealt = encoded.select("row", "ids").repartition(tasks, F.xxhash64("row")).sortWithinPartitions(F.xxhash64("row"))
     packs = stored(dealt.mapInArrow(_packed, "lengths array<long>, ids binary"), "packs")
     vector = Network(words.weight).vector
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         start = spark.sparkContext.broadcast(vector)
         parts = stored(packs.mapInArrow(_trained(sent, start, turn), PARTS), "round")
         found = averaged(parts, tasks)
@@ -504,61 +532,47 @@ def train(docs: DataFrame, words: Vocabulary, sent) -> np.ndarray:
 # ---------------------------------------------------------------- scoring
 
 
-SCORED = "doc_id long, n_tokens long, known long, base double, share double, rest array<struct<key:binary,n:long>>"
+SCORED = "row long, doc_id long, n_tokens long, known long, base double, share double"
 
 
-def _scored(vocabulary, weights):
-    def flush(net, held):
-        logs = log_likelihoods(net, [r[1] for r in held])
-        rest = [list(r[5].items()) for r in held]
-        flat = [x for r in rest for x in r]
-        pairs = pa.StructArray.from_arrays(
-            [pa.array([k for k, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())],
-            fields=[pa.field("key", pa.binary()), pa.field("n", pa.int64())],
-        )
-        ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in held], pa.int64()),
-                pa.array([len(r[1]) for r in held], pa.int64()),
-                pa.array([r[2] for r in held], pa.int64()),
-                pa.array([r[3] for r in held], pa.float64()),
-                pa.array(logs + np.array([r[4] for r in held]), pa.float64()),
-                pa.ListArray.from_arrays(pa.array(ends), pairs),
-            ],
-            names=["doc_id", "n_tokens", "known", "base", "share", "rest"],
-        )
+def _scored(weight, weights):
+    def flush(net, held, tables):
+        logs = log_likelihoods(net, held)
+        table = pa.Table.from_batches(tables)
+        values = pa.array(np.asarray(table.column("share")) + logs)
+        yield from table.set_column(table.schema.get_field_index("share"), "share", values).to_batches()
 
     def run(batches):
-        words = vocabulary.value
-        net, held, tokens = Network(words.weight, weights.value), [], 0
+        net, held, tables, tokens = Network(weight, weights.value), [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                held.append((doc_id, *words.read(text)))
-                tokens += len(held[-1][1])
-                if tokens >= CHUNK_TOKENS:
-                    yield flush(net, held)
-                    held, tokens = [], 0
+            tables.append(batch.drop_columns(["ids"]))
+            held += [np.frombuffer(ids, "<u2").astype(np.int32) for ids in batch.column("ids").to_pylist()]
+            tokens += sum(len(t) for t in held[-batch.num_rows :]) if batch.num_rows else 0
+            if tokens >= CHUNK_TOKENS:
+                yield from flush(net, held, tables)
+                held, tables, tokens = [], [], 0
         if held:
-            yield flush(net, held)
+            yield from flush(net, held, tables)
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = rows.filter(crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = stored(token_counts(training), "counts")
+    held_out = crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT
+    counts = stored(token_counts(rows.filter(~held_out)), "counts")
     words, cut = vocabulary(counts)
     sent = spark.sparkContext.broadcast(words)
-    weights = spark.sparkContext.broadcast(train(training, words, sent))
-    scored = stored(
-        rows.mapInArrow(_scored(sent, weights), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored"
+    encoded = stored(
+        rows.mapInArrow(_encoded(sent), ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded"
     )
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
+    weights = spark.sparkContext.broadcast(train(encoded.filter(~held_out), words, sent, rounds))
+    columns = [c.split()[0] for c in SCORED.split(", ")]
+    scored = encoded.select(*columns, "ids").mapInArrow(_scored(words.weight, weights), SCORED)
+    rest = encoded.select("row", F.explode("rest").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
     known = counts.filter(F.col("bin") < cut).select("key", "n")
     found = (
         rest.join(known, "key")
@@ -569,9 +583,9 @@ def score(docs: DataFrame) -> DataFrame:
         )
     )
     more, log = F.coalesce("more", F.lit(0)), F.coalesce("log", F.lit(0.0))
-    return scored.drop("rest").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id",
-        (crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
+        held_out.alias("held_out"),
         "n_tokens",
         (F.col("known") + more).cast("long").alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
