@@ -7,8 +7,11 @@ sequence.  Weights come from labelled pages: each partition runs stochastic grad
 steps on its pages and Spark averages the partitions' weights after each round.
 
 Defined results: null or empty html, or html without text, gives an empty text; text
-before or after any tags is a block of its own; unclosed and stray tags are tolerated;
-repeated rows give repeated results; an empty table gives an empty result.
+before or after any tags is a block of its own; unclosed and stray tags are tolerated:
+self-closed or unclosed drawings and embedded elements hide nothing after them, unclosed
+scripts and styles hide the rest of the page, as in browsers; features read the innermost
+NEAREST ancestors of a block, texts are whole at any depth and length; repeated rows give
+repeated results; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ ROUNDS = 3
 EPOCHS = 4
 RATE = 0.2
 SHRINK = 1e-5
+NEAREST = 64
 
 # How HTML treats its elements.
 INLINE = frozenset(
@@ -38,6 +43,8 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title".split())
+TO_THE_END = frozenset("script style".split())
+FOREIGN = frozenset("svg math".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 SELF_CLOSING |= {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 P_CLOSERS = frozenset(
@@ -52,6 +59,7 @@ _MARKUP = re.compile(
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-zA-Z]+")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Block:
@@ -66,16 +74,18 @@ def leaf_blocks(page: str) -> list[Block]:
     """Blocks of text in page order, with their ancestors' tags and class words."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = []
+    depth: Counter = Counter()
     parts: list[str] = []
-    linked = opened = 0
+    linked = opened = anchors = 0
 
     def close():
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(parts)).split())
         if text:
-            path = [t for t, _, _ in stack if t not in INLINE]
-            names = {n for _, ns, _ in stack for n in ns}
-            near, _, parent = next((e for e in reversed(stack) if e[0] in CONTAINERS), ("", (), -1))
+            around = stack[-NEAREST:]
+            path = [t for t, _, _ in around if t not in INLINE]
+            names = {n for _, ns, _ in around for n in ns}
+            near, _, parent = next((e for e in reversed(around) if e[0] in CONTAINERS), ("", (), -1))
             tag = path[-1] if path else ""
             out.append(Block(text, tag, tuple(path), min(1.0, linked / len(text)), names, near, parent))
         parts.clear()
@@ -84,18 +94,30 @@ def leaf_blocks(page: str) -> list[Block]:
     def add(text):
         nonlocal linked
         parts.append(text)
-        if any(e[0] == "a" for e in stack):
+        if anchors:
             linked += len(text)
 
     def pop_to(name, stop=()):
+        nonlocal anchors
+        if not depth[name]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
+                for gone, _, _ in stack[i:]:
+                    depth[gone] -= 1
                 del stack[i:]
+                anchors = depth["a"]
                 return
             if stack[i][0] in stop:
                 return
 
-    at, find = 0, _MARKUP.search
+    def push(name, names=(), number=-1):
+        nonlocal anchors
+        stack.append((name, names, number))
+        depth[name] += 1
+        anchors = depth["a"]
+
+    at, find, unclosed = 0, _MARKUP.search, set()
     while m := find(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -104,8 +126,13 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if name in RAW and not m[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name in ("object", "noscript") else len(page))
+            if name not in unclosed and not (name in FOREIGN and m[3].endswith("/")):
+                if end := _ENDS[name].search(page, at):
+                    at = end.end()
+                elif name in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
             if name not in INLINE:
                 close()
             continue
@@ -116,7 +143,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if m[1]:
                 pop_to(name, P_CLOSERS)
             elif name not in VOID:
-                stack.append((name, (), -1))
+                push(name)
             continue
         close()
         if m[1]:
@@ -129,7 +156,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if name not in VOID and not m[3].endswith("/"):
             values = [a or b or c for a, b, c in _NAMED.findall(m[3])]
             opened += 1
-            stack.append((name, tuple(w.lower() for v in values for w in _PART.findall(v))[:8], opened))
+            push(name, tuple(w.lower() for v in values for w in _PART.findall(v))[:8], opened)
     add(page[at:])
     close()
     return out
@@ -141,7 +168,7 @@ def _bucket(x: float, edges) -> int:
 
 def features(blocks: list[Block]) -> list[np.ndarray]:
     """Hashed feature numbers of each block."""
-    out, count = [], len(blocks)
+    out = []
     cache: dict[str, int] = {}
 
     def place(name: str) -> int:
@@ -149,14 +176,14 @@ def features(blocks: list[Block]) -> list[np.ndarray]:
             found = cache[name] = zlib.crc32(name.encode()) % DIMS
         return found
 
-    for i, b in enumerate(blocks):
+    for b in blocks:
         words, n = b.text.count(" ") + 1, len(b.text)
         long = _bucket(words, (2, 4, 8, 15, 30, 80))
         link = _bucket(b.linked, (0.01, 0.3, 0.7, 0.95))
         ends = b.text[-1] in ".!?:;\"»…"
         names = ["bias", f"tag={b.tag}", f"long={long}", f"link={link}", f"tag={b.tag},long={long},link={link}"]
         names += [f"in={t}" for t in set(b.path)] + [f"name={w}" for w in b.names]
-        names += [f"end={ends},{long}", f"where={min(4, i)}", f"last={min(4, count - 1 - i)}"]
+        names.append(f"end={ends},{long}")
         names += [f"sign={'©' in b.text or '(c)' in b.text}", f"digits={_bucket(sum(map(str.isdigit, b.text)) / n, (0.05, 0.3))}"]
         plain = "" if b.names else ",plain"
         names += [f"near={b.near}{plain}", f"near={b.near},tag={b.tag}{plain}", f"near={b.near},long={long}"]

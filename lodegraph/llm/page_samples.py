@@ -7,11 +7,26 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 
-SYLLABLES = "the an er in on re ti es or st en at ed nd to it is ou ea hi le ve co me de hi ri ro ic ne".split()
+ONSETS, VOWELS = "b c d f g h j k l m n p r s t v w z br dr fl gr kl pr sk tr".split(), "a e i o u ai eo ü é ó".split()
+HEADS = (
+    "<meta charset=utf-8><link rel=stylesheet href=/site.css>",
+    "<style>body > .wrap { color: #333 } h1 { font-size: 2em }</style>",
+    "<script>if (a < b) { load('x'); }</script>",
+    '<script type="application/ld+json">{"@type": "WebPage"}</script><base href="/">',
+    "<meta name=viewport content='width=device-width'><!-- build 71 -->",
+)
+DRAWINGS = (
+    '<svg width="8" height="8"/>',
+    '<svg viewBox="0 0 4 4"><path d="M0 0h4"/><text>icon</text></svg>',
+    "<noscript><img src=/pixel.gif></noscript>",
+    "<canvas></canvas>",
+    "<iframe src=/frame title=frame></iframe>",
+)
+MAIN_NAMES = "content post entry-content entry article-body story main text body-copy post-content story-text".split()
 
 
 def _words(rng: random.Random, n: int) -> list[str]:
-    return ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+    return ["".join(rng.choice(ONSETS) + rng.choice(VOWELS) for _ in range(rng.randint(1, 4))) for _ in range(n)]
 
 
 def _sentences(rng: random.Random, n: int) -> str:
@@ -69,7 +84,7 @@ def _header(p: _Page) -> None:
 
 def _advert(p: _Page) -> None:
     r = p.rng
-    p.put("<!-- ad -->" if r.random() < 0.5 else "")
+    p.put(r.choice(["", "", "<!-- begin promotion -->", "<!-- slot:7 -->"]))
     tag = r.choice(["div", "div", "aside", "section"])
     p.put(f"<{tag}{_attribute(r, 'ad', 'ads', 'advert', 'sponsored', 'promo', 'advertisement', 'ad-slot')}>")
     for _ in range(r.randint(1, 2)):
@@ -141,8 +156,8 @@ def _footer(p: _Page) -> None:
 def _article(p: _Page) -> None:
     r = p.rng
     outer, attributes = r.choice(
-        [("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("section", ' class="content"')]
-        + [("div", _attribute(r, "content", "post", "entry-content", "article-body", "story", "main", "text", "body-copy"))]
+        [("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("main", ""), ("main", " id=main")]
+        + [(r.choice(["div", "div", "section"]), _attribute(r, *MAIN_NAMES)) for _ in range(4)]
     )
     p.put("<main>" if outer == "article" and r.random() < 0.3 else "")
     p.put(f"<{outer}{attributes}>")
@@ -161,19 +176,21 @@ def _article(p: _Page) -> None:
             p.put("</ul>")
         elif kind < 0.9:
             p.block("blockquote", _sentences(r, r.randint(4, 40)), True)
-        elif kind < 0.93:
+        elif kind < 0.91:
             p.put("<table><tr>")
             for _ in range(r.randint(2, 4)):
                 p.block("td", _sentences(r, r.randint(1, 5)), True)
             p.put("</tr></table>")
-        elif kind < 0.95:
+        elif kind < 0.92:
             p.block("pre", _sentences(r, r.randint(3, 30)), True)
-        elif kind < 0.97:
+        elif kind < 0.96:
             _advert(p)
-        elif kind < 0.985:
+        elif kind < 0.98:
             p.links("div", _attribute(r, "share", "social", "related"))
         else:
             _notice(p)
+        if r.random() < 0.05:
+            p.put(r.choice(DRAWINGS))
     if r.random() < 0.08:
         _comments(p)
     p.put(f"</{outer}>")
@@ -183,8 +200,11 @@ def labelled_page(seed: int) -> tuple[str, str]:
     """html and main text of one page."""
     r = random.Random(seed)
     p = _Page(r)
-    p.put(f"<!DOCTYPE html><html><head><title>{_sentences(r, 4)}</title><style>p{{margin:0}}</style>")
-    p.put('<script>var t="</p>";</script></head><body>')
+    p.put(r.choice(["<!DOCTYPE html><html><head>", "<html lang=xx><head>", "<!doctype html>\n<head>"]))
+    p.put(f"<title>{html_lib.escape(_sentences(r, 4))}</title>")
+    p.put("".join(r.sample(HEADS, r.randint(0, 3))) + r.choice(["</head><body>", "</head>\n<body class=page>"]))
+    wrapper = r.choice(["", "", "<div id=page>", "<div class='wrap'><div class=inner>"])
+    p.put(wrapper)
     for part in (_header, _menu, _notice, _advert, _form):
         if r.random() < 0.5:
             part(p)
@@ -196,11 +216,12 @@ def labelled_page(seed: int) -> tuple[str, str]:
             part(p)
     if r.random() < 0.85:
         _footer(p)
+    p.put("</div>" * wrapper.count("<div"))
     p.put("</body></html>" if r.random() < 0.8 else "")
     return "".join(p.html), "\n\n".join(p.main)
 
 
-def labelled_pages(spark: SparkSession, count: int = 400, parts: int = 4) -> DataFrame:
+def labelled_pages(spark: SparkSession, count: int = 600, parts: int = 4) -> DataFrame:
     """html, text: the first count pages, spread over a fixed number of partitions."""
     rows = [labelled_page(seed) for seed in range(count)]
     return spark.createDataFrame(rows, "html string, text string").repartition(parts)
