@@ -1,13 +1,18 @@
 """Secret scan: fixed patterns plus a battery of randomness tests, in DataFrame functions only.
 
 Patterns give the base spans.  Other runs of key-like characters are candidates; each is
-tested in the alphabet of its inferred encoding: chi-squared uniformity of symbols, runs
-about the middle of the alphabet, and serial correlation of neighbouring symbols.  The
-uniformity statistic is judged against ordinary words of similar length (candidates of
-letters of one case), so a small p-value says that a run is more even than words are.
-Benjamini-Hochberg within each length class bounds the share of false discoveries; runs
-and serial tests must not reject randomness.  Accepted candidates that touch no base
-span are added with kind "random".
+tested in the alphabet of its inferred encoding: chi-squared uniformity of its symbols,
+runs about the middle of the alphabet, and serial correlation of neighbouring symbols.
+
+Two laws of the chi-squared statistic of n symbols in an alphabet of k are compared.  Drawn
+evenly, it has k - 1 degrees of freedom.  Written text repeats its letters: with a sum of
+squared shares of TEXT_SQUARES the statistic is noncentral by n (k TEXT_SQUARES - 1), so
+text parts from random strings the more clearly, the longer the string and the larger the
+alphabet.  The probability that text is as even as a candidate is its p-value;
+Benjamini-Hochberg within each length class bounds the share of false discoveries by
+FALSE_DISCOVERIES.  The three tests of randomness, combined by Fisher's sum, must not
+reject.  Accepted candidates that touch no base span are added with kind "random".  No
+figure depends on which or how many other words a table holds, but for the number of tests.
 
 Defined results: null text counts as empty; texts without spans have counts 0 and empty
 spans; repeated rows give repeated results; an empty table gives an empty result.
@@ -29,12 +34,14 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 FALSE_DISCOVERIES = 0.01
 REJECT = 0.001
-# Mean and deviation of the uniformity score of words where a table holds too few of them.
-PLAIN_MEAN, PLAIN_DEVIATION, LEAST_WORDS = 1.2, 0.6, 30
+# Sums of squared symbol shares: of letters in written text (0.065 in English, more in most
+# other languages), and of digits in numbers written with hexadecimal symbols.
+TEXT_SQUARES, NUMBER_SQUARES = 0.06, 0.1
 LOG_BINS = 400
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
+    ("digits", "^[0-9]+$", _DIGITS),
     ("hex", "^[0-9a-f]+$", _DIGITS + _LOWER[:6]),
     ("upper_hex", "^[0-9A-F]+$", _DIGITS + _UPPER[:6]),
     ("lower", "^[a-z]+$", _LOWER),
@@ -103,11 +110,21 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
+def _chi_squared_cdf(x: Column, df: Column) -> Column:
+    """Chi-squared distribution function, by the cube-root transformation of Wilson and Hilferty."""
+    spread = 2 / (9 * df)
+    return _normal_cdf((F.cbrt(x / df) - 1 + spread) / F.sqrt(spread))
+
+
+def _both_tails(z: Column) -> Column:
+    return F.greatest(2 * (1 - _normal_cdf(F.abs(z))), F.lit(1e-12))
+
+
 def tested(candidates: DataFrame) -> DataFrame:
-    """candidates (value, ...) with the test statistics of each value.
+    """candidates (value, ...) with encoding, n, chi_squared and the p-values of each value.
 
-    spread: excess of the chi-squared statistic over its mean, per symbol of the value;
-    runs_z and serial_z: about standard normal when symbols are drawn at random.
+    p_even, p_runs, p_serial: of the three tests, when symbols are drawn at random; p_text:
+    probability that written text of this length is as even.
     """
     rows = candidates.withColumn("_e", encoding(F.col("value")))
     rows = rows.select(
@@ -132,7 +149,7 @@ def tested(candidates: DataFrame) -> DataFrame:
         "encoding",
         "n",
         "k",
-        "(k * squares / n - n - (k - 1)) / n as spread",
+        "k * squares / n - n as chi_squared",
         "aggregate(at, 0D, (s, x) -> s + power(x - mean, 2)) as variance",
         "aggregate(zip_with(slice(at, 1, size(at) - 1), slice(at, 2, size(at)), "
         "(a, b) -> (a - mean) * (b - mean)), 0D, (s, x) -> s + x) as lagged",
@@ -142,34 +159,30 @@ def tested(candidates: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_m", F.expr("2 * ones * (n - ones) / n"))
     runs_sd = F.expr("sqrt(greatest(_m * (_m - 1) / (n - 1) * 1D, 1e-9))")
+    mixed = (F.col("ones") > 0) & (F.col("ones") < F.col("n"))
+    df, x = F.col("k") - 1, F.col("chi_squared")
+    squares = F.when(F.col("encoding").isin("hex", "upper_hex"), F.lit(NUMBER_SQUARES)).otherwise(F.lit(TEXT_SQUARES))
+    # A noncentral law with offset o is near a chi-squared law stretched by its variance over its mean.
+    offset = F.greatest(F.col("n") * (F.col("k") * squares - 1), F.lit(0.0))
+    stretch = (df + 2 * offset) / (df + offset)
     return rows.select(
         *candidates.columns,
         "encoding",
         "n",
-        "spread",
-        F.when((F.col("ones") > 0) & (F.col("ones") < F.col("n")), (F.col("runs") - F.col("_m") - 1) / runs_sd)
-        .otherwise(F.lit(99.0))
-        .alias("runs_z"),
-        F.when(F.col("variance") > 0, F.col("lagged") / F.col("variance") * F.sqrt("n"))
-        .otherwise(F.lit(99.0))
-        .alias("serial_z"),
+        "chi_squared",
+        F.greatest(1 - _chi_squared_cdf(x, df), F.lit(1e-12)).alias("p_even"),
+        F.when(mixed, _both_tails((F.col("runs") - F.col("_m") - 1) / runs_sd)).otherwise(F.lit(1e-12)).alias("p_runs"),
+        F.when(F.col("variance") > 0, _both_tails(F.col("lagged") / F.col("variance") * F.sqrt("n")))
+        .otherwise(F.lit(1e-12))
+        .alias("p_serial"),
+        F.greatest(_chi_squared_cdf(x / stretch, (df + offset) / stretch), F.lit(1e-39)).alias("p_text"),
     )
 
 
 def accepted(tests: DataFrame) -> DataFrame:
-    """Rows of tests that pass the false-discovery control of their length class."""
+    """Rows of tests that pass the false-discovery control of their length class and look random."""
     rows = tests.withColumn("class", F.least(F.floor(F.log2(F.col("n")) * 2), F.lit(30)).cast("int"))
-    words = (
-        rows.filter("encoding in ('lower', 'upper')")
-        .groupBy("class")
-        .agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("sd"), F.count(F.lit(1)).alias("words"))
-    )
-    rows = rows.join(F.broadcast(words), "class", "left")  # at most 31 classes
-    enough = F.coalesce(F.col("words") >= LEAST_WORDS, F.lit(False)) & (F.col("sd") > 0)
-    m = F.when(enough, F.col("m")).otherwise(F.lit(PLAIN_MEAN))
-    sd = F.when(enough, F.col("sd")).otherwise(F.lit(PLAIN_DEVIATION))
-    rows = rows.withColumn("p", F.greatest(_normal_cdf((F.col("spread") - m) / sd), F.lit(1e-39)))
-    rows = rows.withColumn("bin", F.least(F.floor(-F.log10("p") * 10), F.lit(LOG_BINS)).cast("int"))
+    rows = rows.withColumn("bin", F.least(F.floor(-F.log10("p_text") * 10), F.lit(LOG_BINS)).cast("int"))
     sizes = rows.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("c"))  # at most 31 x 401 rows
     down = Window.partitionBy("class").orderBy(F.desc("bin"))
     every = Window.partitionBy("class")
@@ -181,9 +194,9 @@ def accepted(tests: DataFrame) -> DataFrame:
         .groupBy("class")
         .agg(F.min("bin").alias("least_bin"))
     )
-    both = sum(-2 * F.log(F.greatest(2 * (1 - _normal_cdf(F.abs(F.col(z)))), F.lit(1e-12))) for z in ("runs_z", "serial_z"))
-    # Fisher's sum of two p-values exceeds x with probability exp(-x / 2) (1 + x / 2).
-    consistent = F.exp(-both / 2) * (1 + both / 2) > REJECT
+    # Fisher's sum x of three p-values exceeds x with probability exp(-x / 2) (1 + x / 2 + x^2 / 8).
+    total = sum(-2 * F.log(p) for p in ("p_even", "p_runs", "p_serial"))
+    consistent = F.exp(-total / 2) * (1 + total / 2 + total * total / 8) > REJECT
     return rows.join(F.broadcast(cut), "class").filter((F.col("bin") >= F.col("least_bin")) & consistent)
 
 
