@@ -1,19 +1,23 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Learning counts words of a bounded sample of labelled rows: in how many different
-contexts (preceding words) a word stands in toxic texts, so that copies of one text
-count once, and how often it stands in other texts.  Dirichlet priors smooth both; a
-word's score is a lower confidence bound of its log-odds, every other token costs a
-small constant.  A linear scan finds all maximal scoring segments of a text.
+Learning counts words of a bounded sample of labelled rows (SAMPLE_ROWS of each label): in
+how many different contexts (preceding words) a word stands in toxic texts, so that copies
+of one text count once, and how often it stands in other texts.  Dirichlet priors smooth
+both; a word's score is a lower confidence bound of its log-odds, every other token costs
+a small constant.  A linear scan finds all maximal scoring segments of a text.
 
 Scores of segments in non-toxic texts follow an extreme-value law: lambda solves the
-moment equation of the token scores, K fits the number of segments.  A text's evidence
-adds up how far its segments exceed what a text of its length shows by chance, and
-isotonic regression over all labelled training rows turns evidence into probability.
+moment equation of the token scores, K is the likeliest one for the best segments of these
+texts.  A text's evidence adds up how far its segments exceed what a text of its length
+shows by chance.  Isotonic regression turns evidence into probability; its evidence comes
+from two models, each fitted on the half of the sample that it does not score, and counts
+each label as often as it stands among all labelled training rows.
 
 Defined results: null text counts as empty; texts without scored words share the lowest
-score; conflicting labels of a doc_id do not train; without labels every score is the
-same; an empty table gives an empty result.
+score, whatever their length; conflicting labels of a doc_id do not train, agreeing repeats
+count once; repeated rows and rows without doc_id are scored each; texts of any length are
+scanned whole; further columns are ignored; without labels every score is the same; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ from lodegraph.llm.common import crc_remainder, small_batches, stored, text_byte
 from lodegraph.llm.quality import BINS, FOLDS, isotonic, summed, training_labels
 
 SAMPLE_ROWS = 20_000
-TABLE_WORDS = 50_000
 PRIOR = 0.5
 CONFIDENCE = 2.0
 DRIFT = 0.02
@@ -127,7 +130,7 @@ class Model:
 
 
 def word_scores(counts: DataFrame) -> dict[bytes, float]:
-    """Positive scores of at most TABLE_WORDS words; counts: word, context, n."""
+    """Words with positive scores, as many as a bounded sample gives; counts: word, context, n."""
     per_context = counts.groupBy("word", "context").agg(F.sum("n").alias("n"))
     words = per_context.groupBy("word").agg(
         F.count("context").cast("double").alias("c1"), F.sum("n").cast("double").alias("c0")
@@ -143,8 +146,6 @@ def word_scores(counts: DataFrame) -> dict[bytes, float]:
         words.filter("c1 >= 3")
         .select("word", (odds - CONFIDENCE * F.sqrt(1 / a + 1 / b)).alias("score"))
         .filter("score > 0 and length(word) > 0")
-        .orderBy(F.desc("score"), "word")
-        .limit(TABLE_WORDS)
         .toArrow()
     )
     return dict(zip(rows.column("word").to_pylist(), rows.column("score").to_pylist()))
@@ -166,41 +167,76 @@ def fit_law(model: Model, texts: DataFrame) -> None:
     """lambda and K from the non-toxic texts (columns text, y)."""
     values = np.array(sorted(set(model.words.values())))
     place = {v: i for i, v in enumerate(values.tolist())}
+    sent = texts.sparkSession.sparkContext.broadcast((model, place))
 
-    def counted(batch):
-        out = np.zeros(len(values) + 2)
+    def hits(batch):
+        model, place = sent.value
+        out = np.zeros(len(place) + 1)
         for text, toxic in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist()):
             if not toxic:
                 found = tokens(text)
-                out[-2] += len(found)
+                out[-1] += len(found)
                 for w in found:
                     if (s := model.words.get(w)) is not None:
                         out[place[s]] += 1
-                out[-1] += len(segments_of(found))
         return out
 
-    def segments_of(found):
-        hits = [(i, model.words[w]) for i, w in enumerate(found) if w in model.words]
-        return segments([i for i, _ in hits], [s for _, s in hits], DRIFT)
-
-    sums = summed(texts, counted)
-    if not len(sums) or not sums[-2]:
+    sums = summed(texts, hits)
+    if not len(sums) or not sums[-1]:
         return
-    hits, n = sums[: len(values)], sums[-2]
+    n = sums[-1]
     # One pseudo-token of each score keeps lambda finite when non-toxic texts have none.
-    share = (np.r_[hits, n - hits.sum()] + np.r_[np.full(len(values), 1 / max(1, len(values))), 0]) / (n + 1)
-    model.scale = moment_root(np.r_[values, -DRIFT], share)
-    model.rate = max((sums[-1] + 1) / n, 1e-9)
+    share = (np.r_[sums[:-1], n - sums[:-1].sum()] + np.r_[np.full(len(values), 1 / max(1, len(values))), 0]) / (n + 1)
+    scale = model.scale = moment_root(np.r_[values, -DRIFT], share)
 
+    def maxima(batch):
+        model, _ = sent.value
+        out = np.zeros(2)
+        for text, toxic in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist()):
+            if not toxic:
+                n, found = model.scan(text)
+                out += 1, n * np.exp(-scale * max((s for _, _, s in found), default=0.0))
+        return out
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Word scores and law from a bounded sample; docs: doc_id, text; labels: doc_id, y."""
-    chosen = stored(_sample(labels, SAMPLE_ROWS), "sample")
-    texts = stored(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "training")
+    texts_, mass = summed(texts, maxima)
+    model.rate = max(float(texts_ / max(mass, 1e-9)), 1e-9) if texts_ else model.rate
+
+
+def fit_texts(texts: DataFrame) -> Model:
+    """Word scores and law from texts (text, y)."""
     model = Model()
-    model.words = word_scores(texts.mapInArrow(_word_counts, "word binary, context binary, n long"))
+    model.words = word_scores(texts.select("text", "y").mapInArrow(_word_counts, "word binary, context binary, n long"))
     if model.words:
-        fit_law(model, texts)
+        fit_law(model, texts.select("text", "y"))
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model with calibration from a bounded sample; docs: doc_id, text; labels: doc_id, y."""
+    chosen = _sample(labels, SAMPLE_ROWS).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    chosen = stored(chosen, "sample")
+    texts = stored(docs.join(F.broadcast(chosen), "doc_id").select("text", "y", "half"), "training")
+    model = fit_texts(texts)
+    counts = np.zeros(2 * BINS)
+    for half in (0, 1):
+        sent = docs.sparkSession.sparkContext.broadcast(fit_texts(texts.filter(F.col("half") != half)))
+
+        def scored(batch, sent=sent):
+            other = sent.value
+            at = other.bin(np.array([other.evidence(t) for t in text_bytes(batch.column("text"))]))
+            toxic = np.asarray(batch.column("y"), float) > 0
+            return np.r_[np.bincount(at[~toxic], minlength=BINS), np.bincount(at[toxic], minlength=BINS)].astype(float)
+
+        found = summed(texts.filter(F.col("half") == half).select("text", "y"), scored)
+        if len(found):
+            counts += found
+    shares = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain, toxic = counts[:BINS], counts[BINS:]
+    plain = plain * shares.get(0.0, 0) / max(1, plain.sum())
+    toxic = toxic * shares.get(1.0, 0) / max(1, toxic.sum())
+    total = plain + toxic
+    if total.sum():
+        model.steps = isotonic(total + 1e-3, toxic + 1e-3 * toxic.sum() / total.sum())
     return model
 
 
@@ -210,39 +246,25 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold:
     passages: number of significant segments.
     """
     small_batches(docs.sparkSession)
-    known = training_labels(labels, column)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(rows, known)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, training_labels(labels, column)))
 
-    def evidence(batches):
+    def scored(batches):
+        model = sent.value
         for batch in batches:
             found = [model.significant(*model.scan(t)) for t in text_bytes(batch.column("text"))]
+            evidence = np.array([sum(r[3] for r in rs) for rs in found], float)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([sum(r[3] for r in rs) for rs in found], pa.float64()),
+                    pa.array(model.score(evidence), pa.float64()),
+                    pa.array(evidence, pa.float64()),
                     pa.array([len(rs) for rs in found], pa.int64()),
                 ],
-                names=["doc_id", "evidence", "passages"],
+                names=["doc_id", "score", "evidence", "passages"],
             )
 
-    scanned = stored(rows.mapInArrow(evidence, "doc_id long, evidence double, passages long"), "evidence")
-
-    def calibration(batch):
-        at, y = model.bin(np.asarray(batch.column("evidence"))), np.asarray(batch.column("y"), float)
-        return np.r_[np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)].astype(float)
-
-    counts = summed(scanned.join(known, "doc_id").select("evidence", "y"), calibration)
-    if len(counts):
-        rate = counts[BINS:].sum() / counts[:BINS].sum()
-        model.steps = isotonic(counts[:BINS] + 1e-3, counts[BINS:] + 1e-3 * rate)
-
-    def scored(batches):
-        for batch in batches:
-            values = model.score(np.asarray(batch.column("evidence")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "score"])
-
-    return scanned.mapInArrow(scored, "doc_id long, evidence double, passages long, score double").select(
+    return rows.mapInArrow(scored, "doc_id long, score double, evidence double, passages long").select(
         "doc_id",
         (crc_remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
         "score",
@@ -256,9 +278,10 @@ def passages(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataF
     """doc_id, first_word, last_word, score, excess: every significant toxic passage."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(rows, training_labels(labels, column))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, training_labels(labels, column)))
 
     def run(batches):
+        model = sent.value
         for batch in batches:
             out = [
                 (i, *row)
