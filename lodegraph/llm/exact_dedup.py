@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import numbered, small_batches, stored, text_bytes
 
 SENDER_ROWS = 1 << 20
-OWNER_ROWS = 1 << 18
+OWNER_ROWS = 1 << 21
 FINGERPRINT_BITS = 48
 FILTER_BITS = 1 << 22
 HOT_SHARE = 1000
