@@ -158,7 +158,7 @@ def _placed(sized: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
     task holds a whole source.
     """
     rows = sized.join(numbered, sized["source"].eqNullSafe(numbered["name"])).drop("name")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(buckets)))
     inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row")
     rows = rows.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
