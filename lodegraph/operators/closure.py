@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.tables import Layers, row_count, settled, settled_counting
 
-SMALL_EDGES = 500
+SMALL_EDGES = 5000
+TRIMS = 4
 
 
 def proper(edges: DataFrame) -> DataFrame:
@@ -44,19 +45,57 @@ def closure(edges: DataFrame) -> DataFrame:
         count = now
 
 
+class Condensed:
+    """A graph with each cycle as one node: place (id, cycle, size), links, and pairs reached."""
+
+    def __init__(self, edges: DataFrame):
+        own = settled(proper(edges))
+        cycle = cycles(own)
+        ids = both_ways(own).select(F.col("source").alias("id")).distinct()
+        place = ids.join(cycle, "id", "left").select("id", F.coalesce("cycle", "id").alias("cycle"))
+        sizes = place.groupBy("cycle").agg(row_count().alias("size"))
+        self.place = settled(place.join(sizes, "cycle"))
+        self.links = settled(condensed(own, cycle))
+        self._pairs = None
+
+    @property
+    def pairs(self) -> DataFrame:
+        """source, target: pairs of different condensed nodes, the one reaching the other."""
+        if self._pairs is None:
+            self._pairs = closure(self.links)
+        return self._pairs
+
+    def counts(self) -> DataFrame:
+        """id, dependencies, dependents of every node with an edge."""
+        sizes = self.place.select("cycle", "size").distinct()
+        sides = []
+        for near, far, name in (("source", "target", "f"), ("target", "source", "b")):
+            rows = self.pairs.join(sizes, F.col(far) == F.col("cycle")).select(F.col(near).alias("cycle"), "size")
+            sides.append(rows.groupBy("cycle").agg(F.sum("size").alias(name)))
+        rows = self.place.join(sides[0], "cycle", "left").join(sides[1], "cycle", "left").fillna(0, ["f", "b"])
+        inside = F.col("size") - 1
+        return rows.select("id", (F.col("f") + inside).alias("dependencies"), (F.col("b") + inside).alias("dependents"))
+
+
 def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, dependencies, dependents: sizes of the forward and the backward reach of each node."""
-    ends = F.array(
-        F.struct(F.col("source").alias("id"), F.lit(1).alias("f"), F.lit(0).alias("b")),
-        F.struct(F.col("target").alias("id"), F.lit(0).alias("f"), F.lit(1).alias("b")),
-    )
-    sums = (
-        closure(edges)
-        .select(F.explode(ends).alias("e"))
-        .groupBy("e.id")
-        .agg(F.sum("e.f").alias("dependencies"), F.sum("e.b").alias("dependents"))
-    )
-    return nodes.select("id").join(sums, "id", "left").fillna(0, ["dependencies", "dependents"])
+    """id, dependencies, dependents: sizes of the forward and the backward reach of each node.
+
+    Cycles are condensed first: their members reach each other and the same others.
+    """
+    return nodes.select("id").join(Condensed(edges).counts(), "id", "left").fillna(0, ["dependencies", "dependents"])
+
+
+def unrelated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (source, target, ...) of which neither end reaches the other."""
+    graph = Condensed(edges)
+    start = graph.place.select(F.col("id").alias("source"), F.col("cycle").alias("_s"))
+    end = graph.place.select(F.col("id").alias("target"), F.col("cycle").alias("_t"))
+    rows = pairs.join(start, "source", "left").join(end, "target", "left")
+    rows = rows.filter(F.col("_s").isNull() | F.col("_t").isNull() | (F.col("_s") != F.col("_t")))
+    reach = graph.pairs
+    forward = reach.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
+    backward = reach.select(F.col("target").alias("_s"), F.col("source").alias("_t"))
+    return rows.join(forward, ["_s", "_t"], "left_anti").join(backward, ["_s", "_t"], "left_anti").select(*pairs.columns)
 
 
 def levels(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
@@ -89,28 +128,112 @@ def least_paths(edges: DataFrame, seeds: DataFrame, most: int = 12) -> DataFrame
     return found.all()
 
 
-def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+def _trim(edges: DataFrame) -> DataFrame:
+    return edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
+        edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
+    ).select("source", "target")
+
+
+def trimmed(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """Edges left, and their number, without nodes that have no edge in or no edge out, again and again."""
     left, count = settled_counting(proper(edges), row_count())
-    while count:
-        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
-            left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
-        )
-        left, now = settled_counting(kept.select("source", "target"), row_count())
+    while count and most != 0:
+        most = None if most is None else most - 1
+        left, now = settled_counting(_trim(_trim(left)), row_count())
         if now == count:
             break
         count = now
     return left, count
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """short, chains, rings: edges with chains drawn together; proper edges are expected.
+
+    A link is a node with one edge in and one out.  short: source, target between other
+    nodes, with chains of links as one edge; chains: id, before, after of the links between
+    them; rings: id, cycle of links that lead only to each other.  Pointers double, so the
+    rounds are logarithmic in the longest chain.
+    """
+    out = edges.groupBy(F.col("source").alias("id")).agg(row_count().alias("n"), F.min("target").alias("after"))
+    into = edges.groupBy(F.col("target").alias("id")).agg(row_count().alias("n"), F.min("source").alias("before"))
+    links = out.filter("n = 1").select("id", "after").join(into.filter("n = 1").select("id", "before"), "id")
+    pointers, links_left = settled_counting(links.withColumn("least", F.col("id")), row_count())
+    moving, same = links_left, 0
+    # Only rings keep their number: they are done when as many steps as they can have are doubled.
+    while moving and 1 << same <= moving:
+        ahead = pointers.select(F.col("id").alias("after"), F.col("after").alias("a"), F.col("least").alias("al"))
+        back = pointers.select(F.col("id").alias("before"), F.col("before").alias("b"), F.col("least").alias("bl"))
+        rows = pointers.join(ahead, "after", "left").join(back, "before", "left")
+        rows = rows.select(
+            "id",
+            F.coalesce("a", "after").alias("after"),
+            F.coalesce("b", "before").alias("before"),
+            F.least("least", "al", "bl").alias("least"),
+            (F.col("a").isNotNull() | F.col("b").isNotNull()).alias("moved"),
+        )
+        pointers, now = settled_counting(rows, F.count_if("moved"))
+        pointers, moving, same = pointers.drop("moved"), now, same + 1 if now == moving else 0
+    inner = pointers.select(F.col("id").alias("after"))
+    rings = pointers.join(inner, "after", "left_semi").select("id", F.col("least").alias("cycle"))
+    chains = pointers.join(inner, "after", "left_anti").select("id", "before", "after")
+    ends = pointers.select(F.col("id").alias("target"), "after")
+    short = (
+        edges.join(pointers.select(F.col("id").alias("source")), "source", "left_anti")
+        .join(ends, "target", "left")
+        .select("source", F.coalesce("after", "target").alias("target"))
+        .distinct()
+    )
+    return settled(short), chains, rings
+
+
+def cycles(edges: DataFrame, contractions: int = 3) -> DataFrame:
     """id, cycle: members of strongly connected components of two nodes and more; cycle is their least id.
 
-    Nodes outside cycles are trimmed first.  What is left is closed where it is small
-    (SMALL_EDGES); otherwise each round spreads least labels forward, and the nodes from
-    which a label's owner is reached back make up its component.
+    Chains are contracted and nodes outside cycles are trimmed, in turns.  Where at most SMALL_EDGES are
+    left, one task finishes them; otherwise each round spreads least labels forward, and the nodes from which a label's owner is reached back make up its component.
     """
-    left, count = trimmed(edges)
+    own = settled(proper(edges))
+    if not contractions:
+        return _coloured(*trimmed(own))
+    short, chains, rings = contracted(own)
+    left, count = trimmed(short, TRIMS)
+    if count > SMALL_EDGES:
+        found = cycles(left, contractions - 1)
+    else:
+        found = _coloured(left, count)
+    loops = short.filter("source = target").select(F.col("source").alias("id"), F.col("source").alias("cycle"))
+    found = settled(found.unionByName(loops.join(found.select("id"), "id", "left_anti")))
+    start = found.select(F.col("id").alias("before"), F.col("cycle").alias("s"))
+    end = found.select(F.col("id").alias("after"), F.col("cycle").alias("t"))
+    inside = chains.join(start, "before").join(end, "after").filter("s = t").select("id", F.col("s").alias("cycle"))
+    whole = found.unionByName(inside)
+    least = whole.groupBy("cycle").agg(F.min("id").alias("least"))
+    named = whole.join(least, "cycle").select("id", F.col("least").alias("cycle"))
+    return settled(named.unionByName(rings))
+
+
+def _mutual(edges):
+    """id, cycle of at most SMALL_EDGES edges: what a node reaches and is reached by, node by node."""
+    import pandas as pd
+
+    out, back, found = {}, {}, {}
+    for s, t in zip(edges["source"], edges["target"]):
+        out.setdefault(s, []).append(t)
+        back.setdefault(t, []).append(s)
+
+    def reached(links, start):
+        seen, front = {start}, [start]
+        while front:
+            front = [t for s in front for t in links.get(s, ()) if t not in found and not (t in seen or seen.add(t))]
+        return seen
+
+    for node in sorted(set(out) & set(back)):
+        if node not in found:
+            found.update(dict.fromkeys(reached(out, node) & reached(back, node), node))
+    return pd.DataFrame(found.items(), columns=["id", "cycle"]).astype({c: edges["source"].dtype for c in ("id", "cycle")})
+
+
+def _coloured(left: DataFrame, count: int) -> DataFrame:
     parts = []
     while count > SMALL_EDGES:
         colour = _spread(left)
@@ -124,9 +247,8 @@ def cycles(edges: DataFrame) -> DataFrame:
                 part.select(F.col("id").alias("target")), "target", "left_anti"
             )
         )
-    reach = closure(left)
-    mutual = reach.join(turned(reach), ["source", "target"]).groupBy(F.col("source").alias("id"))
-    found = mutual.agg(F.least(F.min("target"), F.col("id")).alias("cycle"))
+    kind = left.schema["source"].dataType.simpleString()
+    found = left.groupBy(F.lit(0).alias("all")).applyInPandas(_mutual, f"id {kind}, cycle {kind}")
     for part in parts:
         found = found.unionByName(part)
     real = found.groupBy("cycle").agg(row_count().alias("n")).filter("n > 1").select("cycle")
@@ -152,8 +274,30 @@ def _spread(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (least id) of every node that has an edge, edges read both ways."""
-    label = _spread(settled(both_ways(edges)))
+    """id, component (least id) of every node that has an edge, edges read both ways.
+
+    Labels start as ids.  In each round a node offers the least label around it to itself
+    and to the owner of its label, then every label is replaced by its owner's: rounds
+    grow with the logarithm of the longest path, one job each.
+    """
+    links = settled(both_ways(proper(edges)).distinct())
+    ids = links.select(F.col("source").alias("id")).distinct()
+    label, changed = settled_counting(ids.select("id", F.col("id").alias("label"), F.lit(True).alias("new")), row_count())
+    while changed:
+        label = label.select("id", "label")
+        around = (
+            links.join(label.withColumnRenamed("id", "source"), "source")
+            .groupBy(F.col("target").alias("id"))
+            .agg(F.min("label").alias("least"))
+        )
+        offers = label.join(around, "id").select(
+            F.explode(F.array(F.struct("id", "least"), F.struct(F.col("label").alias("id"), "least"))).alias("o")
+        )
+        lowest = offers.groupBy("o.id").agg(F.min("o.least").alias("least"))
+        hooked = label.join(lowest, "id").select("id", F.least("label", "least").alias("to"), F.col("label").alias("old"))
+        owner = hooked.select(F.col("id").alias("to"), F.col("to").alias("label"))
+        rows = hooked.join(owner, "to").select("id", "label", (F.col("label") < F.col("old")).alias("new"))
+        label, changed = settled_counting(rows, F.count_if("new"))
     return label.select("id", F.col("label").alias("component"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lodegraph.adapters.star_schema import with_tables
 from lodegraph.functions.ranks import decimals, half_up
-from lodegraph.functions.tables import settled
 from lodegraph.operators import adjacency, closure, facts, history, spread
 
 _DEGREES = """, deg as (
@@ -41,9 +40,8 @@ def cycle_sizes(m):
 
 
 def path_lengths(m):
-    """Shortest paths from part 0's neighbourhood of tests, least in order of ids."""
-    seeds = m.nodes.filter("id % 97 = 0").select("id")
-    rows = closure.least_paths(m.edges, seeds, 6)
+    """Shortest paths from any test, at most 12 steps; of equals the least in order of ids."""
+    rows = closure.least_paths(m.edges, tests(m))
     return rows.select(
         "id", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")
     )
@@ -94,8 +92,7 @@ def coverage_trend(m):
 def hidden_pairs(m):
     """Files that change together though neither reaches the other."""
     pairs = history.co_change(m.commit_files, 8, 2, 0.03).select("source", "target", "shared")
-    reach = settled(closure.closure(m.edges))
-    return pairs.join(reach, ["source", "target"], "left_anti").join(back(reach), ["source", "target"], "left_anti")
+    return closure.unrelated(pairs, m.edges)
 
 
 def tier_votes(m):
@@ -109,7 +106,7 @@ def tier_directions(m):
 def outside_dependents(m):
     """For each directory the nodes outside it that reach a member."""
     own = m.nodes.select(F.col("directory").alias("block"), "id")
-    found = closure.levels(back(m.edges), own.filter("id % 3 = 0"), ("block",))
+    found = closure.levels(back(m.edges), own, ("block",))
     inside = own.withColumnRenamed("block", "own_block")
     return found.join(inside, "id").filter("block <> own_block").groupBy("block").agg(F.count(F.lit(1)).alias("dependents"))
 
@@ -228,12 +225,15 @@ QUERIES = {
     ),
     "g05_least_paths": (
         path_lengths,
-        with_tables("nodes edges", """, walk(id, distance, path) as (
-            select id, cast(0 as bigint), [id] from nodes where id % 97 = 0 union all
-            select target, distance + 1, list_append(path, target) from walk join edges on source = id
-            where distance < 6 and not list_contains(path, target)),
-          best as (select id, min((distance, path)) as b from walk group by 1)
-          select id, b[1] as distance, array_to_string(b[2], ',') as path from best""", True),
+        with_tables("nodes edges", f""", level(id, distance) as (select id, 0 from {_TESTS} z union
+            select target, distance + 1 from level join edges on source = level.id where distance < 12),
+          least as (select id, min(distance) as distance from level group by 1),
+          step as (select e.source, e.target, b.distance from edges e join least a on a.id = e.source
+            join least b on b.id = e.target and b.distance = a.distance + 1),
+          walk(id, distance, path) as (select id, cast(0 as bigint), [id] from {_TESTS} z union all
+            select * from (select target, cast(step.distance as bigint), min(list_append(path, target)) from walk
+              join step on source = walk.id group by 1, 2) x)
+          select id, distance, array_to_string(path, ',') as path from walk""", True),
     ),
     "g06_neighbourhood": (
         neighbourhood,
@@ -285,7 +285,7 @@ QUERIES = {
     ),
     "g18_outside_dependents": (
         outside_dependents,
-        with_tables("nodes edges", """, w(block, id) as (select directory, id from nodes where id % 3 = 0 union
+        with_tables("nodes edges", """, w(block, id) as (select directory, id from nodes union
             select block, source from w join edges on target = w.id)
           select block, count(*) as dependents from w join nodes using (id) where directory <> block group by 1""", True),
     ),
