@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.tables import settled
 
+HOT_SHARE = 1000
+
 
 def half_up(x: Column) -> Column:
     """The nearest integer as a long, halves upward."""
@@ -48,8 +50,12 @@ def percentiles(rows: DataFrame, columns: list[str], total: int) -> DataFrame:
     for column in columns:
         ranks = smaller_counts(rows.select(column), column)
         rank = half_up(F.col("smaller") / F.lit(max(1, total - 1)) * 100) if total > 1 else F.lit(100).cast("long")
-        ranks = ranks.select(F.col(column).alias("_value"), rank.alias(f"{column}_rank"))
-        rows = rows.join(ranks, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+        ranks = settled(ranks.select(F.col(column).alias("_value"), rank.alias(f"{column}_rank"), "n"))
+        # Values of more than a thousandth of the rows are at most a thousand: these are broadcast.
+        same, most = F.col(column).eqNullSafe(F.col("_value")), max(1, total // HOT_SHARE)
+        hot = F.broadcast(ranks.filter(F.col("n") > most).drop("n"))
+        rest = rows.join(hot.select("_value"), same, "left_anti").join(ranks.filter(F.col("n") <= most).drop("n"), same)
+        rows = rows.join(hot, same).unionByName(rest).drop("_value")
     return rows
 
 
