@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegraph.operators.closure import Condensed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,6 +94,11 @@ class Model:
     def edges(self) -> DataFrame:
         return edges(self.spark, self.sf_dir)
 
+    @cached_property
+    def condensed(self) -> Condensed:
+        """The graph with its cycles drawn together: one computation for reach, cycles and their sizes."""
+        return Condensed(self.edges)
+
     @cached_property
     def commits(self) -> DataFrame:
         """hash, author, date."""

@@ -65,6 +65,14 @@ class Condensed:
             self._pairs = closure(self.links)
         return self._pairs
 
+    def cycles(self) -> DataFrame:
+        """id, cycle, cycle_size of the members of cycles."""
+        return self.place.filter("size > 1").withColumnRenamed("size", "cycle_size")
+
+    def reach_counts(self, nodes: DataFrame) -> DataFrame:
+        """id, dependencies, dependents of nodes (id), 0 where isolated."""
+        return nodes.select("id").join(self.counts(), "id", "left").fillna(0, ["dependencies", "dependents"])
+
     def counts(self) -> DataFrame:
         """id, dependencies, dependents of every node with an edge."""
         sizes = self.place.select("cycle", "size").distinct()
@@ -82,7 +90,7 @@ def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Cycles are condensed first: their members reach each other and the same others.
     """
-    return nodes.select("id").join(Condensed(edges).counts(), "id", "left").fillna(0, ["dependencies", "dependents"])
+    return Condensed(edges).reach_counts(nodes)
 
 
 def unrelated(pairs: DataFrame, edges: DataFrame) -> DataFrame:

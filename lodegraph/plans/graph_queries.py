@@ -23,7 +23,7 @@ _LEVELS = """, level(id, distance) as (select id, 0 from {seeds} union
 
 
 def reach_counts(m):
-    return closure.reach_counts(m.nodes, m.edges)
+    return m.condensed.reach_counts(m.nodes)
 
 
 def back(edges):
@@ -176,7 +176,7 @@ def health_axes(m):
 
 def drift(m):
     """Measures of a revision; what a revision does not record stays null."""
-    cycles = closure.cycles(m.edges).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    cycles = m.condensed.cycles().groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
     sizes = cycles.agg(F.count(F.lit(1)).alias("cycles"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_cycle"))
     modules = m.nodes.agg(F.count(F.lit(1)).alias("modules"))
     largest = m.nodes.groupBy("directory").count().agg(F.max("count").alias("largest_module"))
