@@ -115,7 +115,7 @@ class Model:
 
     @cached_property
     def functions(self) -> DataFrame:
-        """file, name, line, lines, decisions, nesting, loops, parameters, recursive."""
+        """file, name, line, lines, decisions, nesting, loops, parameters, recursive, scans, sorts."""
         return self.raw("lineitem").select(
             F.col("l_partkey").alias("file"),
             F.col("l_orderkey").alias("name"),
@@ -126,6 +126,8 @@ class Model:
             (F.col("l_suppkey") % 4).alias("loops"),
             F.round(F.col("l_tax") * 100).cast("long").alias("parameters"),
             (F.col("l_suppkey") % 17 == 0).alias("recursive"),
+            (F.col("l_suppkey") % 19 == 0).cast("int").alias("scans"),
+            (F.col("l_suppkey") % 23 == 0).cast("int").alias("sorts"),
         )
 
     @cached_property
@@ -213,7 +215,8 @@ functions as (
   select l_partkey as file, l_orderkey as name, cast(l_linenumber as bigint) as line,
     cast(l_quantity + 5 as bigint) as lines, cast(round(l_discount * 100) as bigint) as decisions,
     cast(l_linenumber % 6 as bigint) as nesting, l_suppkey % 4 as loops,
-    cast(round(l_tax * 100) as bigint) as parameters, l_suppkey % 17 = 0 as recursive
+    cast(round(l_tax * 100) as bigint) as parameters, l_suppkey % 17 = 0 as recursive,
+    cast(l_suppkey % 19 = 0 as int) as scans, cast(l_suppkey % 23 = 0 as int) as sorts
   from lineitem)""",
     "coverage": """
 coverage as (

@@ -113,11 +113,11 @@ def identifiers(*names: str) -> None:
 
 
 def read_only(sql: str) -> bool:
-    """Whether a probe text is one select statement."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
+    """Whether a probe text is one plain select statement, without comments and without a table to write to."""
+    text = sql.strip().rstrip(";").strip()
     words = set(re.findall(r"[a-z]+", re.sub(r"'(?:[^']|'')*'", "", text.lower())))
-    changing = {"insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "copy", "merge", "call"}
-    return bool(re.match(r"(?is)^(select|with)\b", text)) and ";" not in text and not words & changing
+    changing = {"into", "insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "copy", "merge", "call"}
+    return bool(re.match(r"(?is)^select\b", text)) and not re.search(r";|--|/\*", text) and not words & changing
 
 
 def safe_revision(revision: str) -> bool:

@@ -75,6 +75,8 @@ def signals() -> Column:
     """The signals that a row of functions shows."""
     tests = {
         "nested-loops": F.col("loops") >= NESTED_LOOPS,
+        "linear-scan-in-loop": F.col("scans") > 0,
+        "sort-in-loop": F.col("sorts") > 0,
         "deep-nesting": F.col("nesting") >= DEEP_NESTING,
         "high-complexity": F.col("decisions") >= HIGH_COMPLEXITY,
         "long-function": F.col("lines") >= LONG_FUNCTION,

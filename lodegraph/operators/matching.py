@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.paths import glob_pattern, joined
 from lodegraph.functions.ranks import first_rows
+from lodegraph.functions.tables import settled
 
 # Extensions that an import may leave out, in the order they are tried.
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json")
 RULE_ROWS = 10_000
+PREFIX_PAIRS = 2
 
 
 def import_candidates(base: Column) -> Column:
@@ -130,10 +132,12 @@ def route_shape(path: Column) -> Column:
 
 
 def route_conformance(operations: DataFrame, routes: DataFrame) -> DataFrame:
-    """operation, route, via: declared operations matched with routes in code, in two passes.
+    """operation, route, via: declared operations matched with routes in code, in three passes.
 
     Both have method and path.  Unmatched operations have a null route, unmatched routes a
-    null operation.  A later pass sees what an earlier one left.
+    null operation.  A later pass sees what an earlier one left: equal paths, equal shapes,
+    and one leading prefix that most of the rest share (PREFIX_PAIRS pairs at least, or the
+    only pair), where it leaves a single partner on each side.
     """
     ops = operations.select("operation", "method", F.col("path").alias("key"))
     code = routes.select("route", "method", F.col("path").alias("key"))
@@ -146,6 +150,9 @@ def route_conformance(operations: DataFrame, routes: DataFrame) -> DataFrame:
         parts.append(hit.select("operation", "route", "via"))
         ops = ops.join(hit.select("operation"), "operation", "left_anti")
         code = code.join(hit.select("method", "key").distinct(), ["method", "key"], "left_anti")
+    hit = settled(_by_prefix(ops, code))
+    parts.append(hit.withColumn("via", F.lit("prefix")))
+    ops, code = ops.join(hit, "operation", "left_anti"), code.join(hit, "route", "left_anti")
     none = F.lit(None).cast("long")
     parts.append(ops.select("operation", none.alias("route"), F.lit("unimplemented").alias("via")))
     parts.append(code.select(none.alias("operation"), "route", F.lit("undocumented").alias("via")))
@@ -155,6 +162,35 @@ def route_conformance(operations: DataFrame, routes: DataFrame) -> DataFrame:
     return out
 
 
+def _by_prefix(operations: DataFrame, routes: DataFrame) -> DataFrame:
+    """operation, route: pairs of one method that the dominant prefix of either side sets apart."""
+
+    def shorter(rows):
+        parts = F.split("key", "/")
+        cuts = F.sequence(F.lit(2), F.size(parts) - 1)
+        cut = F.transform(
+            F.when(F.size(parts) > 2, cuts),
+            lambda n: F.struct(
+                F.array_join(F.slice(parts, F.lit(1), n), "/").alias("prefix"),
+                F.concat(F.lit("/"), F.array_join(F.slice(parts, n + 1, F.size(parts)), "/")).alias("tail"),
+            ),
+        )
+        return rows.select("*", F.explode(cut).alias("c")).select(*rows.columns, "c.*")
+
+    spec = shorter(operations).join(routes.withColumnRenamed("key", "tail"), ["method", "tail"])
+    code = shorter(routes).join(operations.withColumnRenamed("key", "tail"), ["method", "tail"])
+    columns = ["operation", "route", "prefix"]
+    pairs = settled(spec.select(*columns, F.lit("spec").alias("side")).unionByName(code.select(*columns, F.lit("code").alias("side"))))
+    total = pairs.agg(F.count(F.lit(1)).alias("all"))
+    top = pairs.groupBy("side", "prefix").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "side", "prefix").limit(1)
+    top = top.join(F.broadcast(total)).filter((F.col("n") >= PREFIX_PAIRS) | (F.col("all") == 1)).select("side", "prefix")
+    chosen = settled(pairs.join(F.broadcast(top), ["side", "prefix"]).select("operation", "route"))
+    def sole(side):
+        return chosen.groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(side)
+
+    return chosen.join(sole("operation"), "operation", "left_semi").join(sole("route"), "route", "left_semi").select("operation", "route")
+
+
 def spans_touched(changes: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """changes (file, line) within spans (file, start, end), as a join on line buckets of width.
 

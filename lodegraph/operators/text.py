@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Words that stay themselves in a normalised sequence.
 KEYWORDS = (
     "break case catch class const continue default delete do else export extends finally for from function if import "
-    "in instanceof let new of return static super switch this throw try typeof var void while yield async await"
+    "in instanceof let new of return static super switch this throw try typeof var void while yield async await "
+    "null true false undefined get set interface type enum"
 ).split()
 
 _TOKEN = r"""//[^\n]*|/\*(?s:.*?)\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\d[\w.]*|[\p{L}_$][\p{L}\p{N}_$]*|[^\s]"""

@@ -105,7 +105,9 @@ def boundaries(m):
         F.count_distinct("unit").alias("writers"), F.min("unit").alias("writer")
     )
     readers = m.data_edges.filter("access = 'reads'").select("dataset", "unit").distinct()
-    crossing = readers.join(writers, "dataset").filter("unit <> writer").groupBy("dataset", "writers").agg(
+    # A reader crosses when some writer is of another unit: always where there are two.
+    crosses = (F.col("writers") > 1) | (F.col("unit") != F.col("writer"))
+    crossing = readers.join(writers, "dataset").filter(crosses).groupBy("dataset", "writers").agg(
         F.count(F.lit(1)).alias("readers")
     )
     governed = m.contracts.withColumn("governed", F.lit(True))
@@ -154,9 +156,10 @@ def route_conformance(m):
     operations = m.raw("part").filter("p_partkey % 2 = 0").select(
         F.col("p_partkey").alias("operation"), F.lit("GET").alias("method"), path.alias("path")
     )
-    code = F.regexp_replace(path, r"\{id\}", ":key")
+    code = F.when(F.col("p_size") % 2 == 0, F.regexp_replace(path, r"\{id\}", ":key")).otherwise(path)
+    mounted = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/api"), code)).otherwise(code)
     routes = m.raw("part").filter("p_partkey % 7 = 0").select(
-        F.col("p_partkey").alias("route"), F.lit("GET").alias("method"), F.when(F.col("p_size") % 2 == 0, code).otherwise(path).alias("path")
+        F.col("p_partkey").alias("route"), F.lit("GET").alias("method"), mounted.alias("path")
     )
     return matching.route_conformance(operations, routes)
 
@@ -333,9 +336,10 @@ QUERIES = {
         boundaries,
         with_tables("data_edges contracts", """, w as (select dataset, count(distinct unit) as writers, min(unit) as writer
             from data_edges where access = 'writes' group by 1),
-          r as (select distinct dataset, unit from data_edges where access = 'reads')
-          select r.dataset, writers, count(*) as readers, r.dataset in (select dataset from contracts) as governed
-          from r join w on w.dataset = r.dataset and unit <> writer group by 1, 2"""),
+          r as (select distinct dataset, unit from data_edges where access = 'reads'),
+          c as (select distinct r.dataset, r.unit from r join data_edges d on d.access = 'writes' and d.dataset = r.dataset and d.unit <> r.unit)
+          select c.dataset, writers, count(*) as readers, c.dataset in (select dataset from contracts) as governed
+          from c join w using (dataset) group by 1, 2"""),
     ),
     "j10_undeclared_packages": (
         undeclared,
@@ -361,8 +365,8 @@ QUERIES = {
         route_conformance,
         """with p as (select *, '/' || p_type || case when p_size % 3 = 0 then '/{id}' else '/' end || p_brand as path from part),
           o as (select p_partkey as operation, path from p where p_partkey % 2 = 0),
-          r as (select p_partkey as route, case when p_size % 2 = 0 then replace(path, '{id}', ':key') else path end as path
-            from p where p_partkey % 7 = 0),
+          r as (select p_partkey as route, case when p_partkey % 3 = 0 then '/api' else '' end
+            || case when p_size % 2 = 0 then replace(path, '{id}', ':key') else path end as path from p where p_partkey % 7 = 0),
           k1 as (select path, min(route) as route from r group by 1),
           m1 as (select operation, k1.route, path from o join k1 using (path)),
           o2 as (select operation, regexp_replace(path, '\\{[^}]*\\}|:[A-Za-z_]+', '{}', 'g') as shape from o
@@ -370,11 +374,18 @@ QUERIES = {
           r2 as (select route, regexp_replace(path, '\\{[^}]*\\}|:[A-Za-z_]+', '{}', 'g') as shape from r
             where path not in (select path from m1)),
           k2 as (select shape, min(route) as route from r2 group by 1),
-          m2 as (select operation, k2.route, shape from o2 join k2 using (shape))
+          m2 as (select operation, k2.route, shape from o2 join k2 using (shape)),
+          o3 as (select * from o2 where operation not in (select operation from m2)),
+          r3 as (select * from r2 where shape not in (select shape from m2)),
+          q3 as (select operation, route from o3 join r3 on r3.shape = '/api' || o3.shape),
+          m3 as (select * from q3 where (select count(*) from q3) > 0
+            and operation in (select operation from q3 group by 1 having count(*) = 1)
+            and route in (select route from q3 group by 1 having count(*) = 1))
           select operation, route, 'exact' as via from m1 union all
           select operation, route, 'parameters' from m2 union all
-          select operation, null, 'unimplemented' from o2 where operation not in (select operation from m2) union all
-          select null, route, 'undocumented' from r2 where shape not in (select shape from m2)""",
+          select operation, route, 'prefix' from m3 union all
+          select operation, null, 'unimplemented' from o3 where operation not in (select operation from m3) union all
+          select null, route, 'undocumented' from r3 where route not in (select route from m3)""",
     ),
     "j16_span_join": (
         spans,

@@ -314,9 +314,11 @@ _SIGNALS_SQL = """, signal_rows as (
   union all select file, name, line, lines, decisions, 'high-complexity' from functions where decisions >= 10
   union all select file, name, line, lines, decisions, 'long-function' from functions where lines >= 50
   union all select file, name, line, lines, decisions, 'many-parameters' from functions where parameters >= 5
-  union all select file, name, line, lines, decisions, 'recursion' from functions where recursive)"""
+  union all select file, name, line, lines, decisions, 'recursion' from functions where recursive
+  union all select file, name, line, lines, decisions, 'linear-scan-in-loop' from functions where scans > 0
+  union all select file, name, line, lines, decisions, 'sort-in-loop' from functions where sorts > 0)"""
 _N_SIGNALS = """(cast(loops >= 2 as int) + cast(nesting >= 4 as int) + cast(decisions >= 10 as int)
-  + cast(lines >= 50 as int) + cast(parameters >= 5 as int) + cast(recursive as int))"""
+  + cast(lines >= 50 as int) + cast(parameters >= 5 as int) + cast(recursive as int) + scans + sorts)"""
 _FILE_COVERAGE = """, file_coverage as (
   select file, count(*) as found, count(*) filter (hits > 0) as hit from coverage group by 1)"""
 
@@ -578,7 +580,7 @@ QUERIES = {
         with_tables("functions", _SIGNALS_SQL + """ select file, cast(sum(case signal when 'high-complexity' then 6
             when 'nested-loops' then 5 when 'deep-nesting' then 4 when 'long-function' then 3
             when 'many-parameters' then 2 else 1 end) as bigint) as weight, cast(sum(lines) as bigint) as lines
-          from signal_rows group by 1 order by weight desc, lines desc, file limit 40"""),
+          from signal_rows where signal not like '%-in-loop' group by 1 order by weight desc, lines desc, file limit 40"""),
     ),
     "t06_risky_untested": (
         risky_untested,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Separators of the log format (records and fields).
 RECORD, FIELD = "\u001e", "\u001f"
+RULE_ROWS, RULES_AT_ONCE = 10_000, 200
 IMPORT = r"""(?:import|export)\s(?:[^'";]*?\sfrom\s*)?['"]([^'"]+)['"]|(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)"""
 
 
@@ -160,6 +161,17 @@ def npm_lock(texts: DataFrame) -> DataFrame:
 
 
 def codeowners(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, owner: the last rule (ordinal, pattern, owner) whose regular expression matches."""
-    hits = files.join(F.broadcast(rules.limit(10_000)), F.expr("path rlike pattern"))
-    return hits.groupBy("path").agg(F.max_by("owner", "ordinal").alias("owner"))
+    """path, owner: the last rule (ordinal, pattern, owner) whose regular expression matches.
+
+    Rules are declared by people and at most RULE_ROWS; more raise an error.
+    """
+    found = rules.orderBy("ordinal").limit(RULE_ROWS + 1).collect()
+    if len(found) > RULE_ROWS:
+        raise ValueError(f"more than {RULE_ROWS} rules")
+    owner = F.lit(None).cast("string")
+    for at in range(0, len(found), RULES_AT_ONCE):
+        # Rules become expressions, so that files are read once and never paired with all rules.
+        part = found[at : at + RULES_AT_ONCE]
+        hits = F.array_compact(F.array(*(F.when(F.col("path").rlike(r["pattern"]), F.lit(r["owner"])) for r in part)))
+        files = files.withColumn("_owner", F.coalesce(F.try_element_at(hits, F.lit(-1)), F.col("_owner") if at else owner))
+    return files.select("path", F.col("_owner").alias("owner") if found else owner.alias("owner")).filter("owner is not null")
