@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.adapters.star_schema import Model
 
-MODULES = ("graph_queries", "join_queries", "reference_queries", "rollup_queries", "score_queries", "text_queries")
+MODULES = ("graph_queries", "join_queries", "layer_queries", "reference_queries", "rollup_queries", "score_queries", "text_queries")
 
 
 def _all() -> dict:
