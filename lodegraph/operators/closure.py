@@ -326,7 +326,8 @@ def depths(edges: DataFrame) -> DataFrame:
     """
     cycle = cycles(edges)
     links = settled(condensed(edges, cycle))
-    ids = both_ways(links).select(F.col("source").alias("id")).distinct()
+    ends = both_ways(proper(edges)).select(F.col("source").alias("id")).distinct().join(cycle, "id", "left")
+    ids = ends.select(F.coalesce("cycle", "id").alias("id")).distinct()
     front, n = settled_counting(ids.select("id", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("new")), row_count())
     found = front
     while n:
