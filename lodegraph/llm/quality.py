@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import crc_remainder, numbered, small_batches, stored, text_bytes
+from lodegraph.llm.common import crc_remainder, small_batches, stored, text_bytes
 
 FEATURES = 192
 WIDTH = 5.0
@@ -93,19 +93,15 @@ def _statistics(batches):
         flat = pa.array(rows.reshape(-1), pa.float32())
         values = pa.FixedSizeListArray.from_arrays(flat, N_STATISTICS).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), values, batch.column("row")], names=["doc_id", "stats", "row"]
+            [batch.column("doc_id"), values], names=["doc_id", "stats"]
         )
 
 
-def document_statistics(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, stats, row: one row for each row of docs, stored in the shared folder.
-
-    row: the column of row numbers, if docs has one.
-    """
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, stats: one row for each row of docs, stored in the shared folder."""
     small_batches(docs.sparkSession)
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row"))
-    return stored(rows.mapInArrow(_statistics, "doc_id long, stats array<float>, row long"), "statistics")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(rows.mapInArrow(_statistics, "doc_id long, stats array<float>"), "statistics")
 
 
 def _matrix(batch, name="stats") -> np.ndarray:
@@ -221,36 +217,41 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def _predictions(docs: DataFrame, labels: DataFrame, column: str, threshold: float, row: str | None) -> DataFrame:
-    stats = document_statistics(docs, row)
+def score(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs; labels: doc_id and column."""
+    stats = document_statistics(docs)
     model = fit(stats, training_labels(labels, column))
 
     def run(batches):
         for batch in batches:
             values = model.score(_matrix(batch)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(values), batch.column("row")], names=["doc_id", "score", "row"]
+                [batch.column("doc_id"), pa.array(values)], names=["doc_id", "score"]
             )
 
-    return stats.mapInArrow(run, "doc_id long, score double, row long").select(
+    return stats.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
         (crc_remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "row",
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; labels: doc_id and column."""
-    return _predictions(docs, labels, column, threshold, None).drop("row")
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without the documents that the classifier rejects; columns unchanged.
 
-    Rows are told apart by a stored number, so each goes or stays by its own text.
+    A row's own text decides, in the pass that hands the row on: no row is stored or
+    shuffled, so repeated and null doc_ids cannot be mixed up.
     """
-    rows, row = numbered(docs)
-    gone = _predictions(rows, labels, "quality", threshold, row).filter("predicted = 0")
-    return rows.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+    known = training_labels(labels, "quality")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(document_statistics(labelled), known))
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                stats = np.array([statistics(t) for t in text_bytes(batch.column("text"))], np.float32)
+                yield batch.filter(pa.array(model.score(stats.astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
