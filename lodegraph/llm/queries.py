@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from lodegraph.llm import (
     bpe,
     exact_dedup,
+    filter_audit,
     gated_lm,
     html_extract,
     mixing,
     page_samples,
     quality,
+    quality_rules,
+    resampling,
     secrets,
     simhash,
     toxicity,
@@ -109,6 +112,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_top_k": (op1_top_k, OP1_SQL),
     "op2_html": (op2_html, None),
@@ -120,6 +135,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_mixing": (op10_mixing, None),
+    "op11_quality_rules": (op11_quality_rules, quality_rules.SQL),
+    "op12_resampling": (op12_resampling, resampling.SQL),
+    "op13_filter_audit": (op13_filter_audit, filter_audit.SQL),
 }
 
 

@@ -103,11 +103,21 @@ def encoding(value: Column) -> Column:
 
 
 def _normal_cdf(z: Column) -> Column:
-    """Normal distribution function, by a polynomial with an error below 1e-7."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
+    """Normal distribution function, by a polynomial with an error below 1e-7.
+
+    z is bound as the one element of an array, so that plans name it once.
+    """
     terms = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    tail = F.exp(-z * z / 2) / 2.5066282746310002 * sum(c * F.pow(t, F.lit(i + 1)) for i, c in enumerate(terms))
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+    def value(z):
+        sums = F.transform(
+            F.array(1 / (1 + 0.2316419 * F.abs(z))), lambda t: sum(c * F.pow(t, F.lit(i + 1)) for i, c in enumerate(terms))
+        )
+        return F.transform(
+            F.array(F.exp(-z * z / 2) / 2.5066282746310002 * sums[0]), lambda tail: F.when(z >= 0, 1 - tail).otherwise(tail)
+        )[0]
+
+    return F.transform(F.array(z), value)[0]
 
 
 def _chi_squared_cdf(x: Column, df: Column) -> Column:
@@ -123,8 +133,9 @@ def _both_tails(z: Column) -> Column:
 def tested(candidates: DataFrame) -> DataFrame:
     """candidates (value, ...) with encoding, n, chi_squared and the p-values of each value.
 
-    p_even, p_runs, p_serial: of the three tests, when symbols are drawn at random; p_text:
-    probability that written text of this length is as even.
+    p_even, p_runs, p_serial: of the three tests, when symbols are drawn at random; fisher:
+    Fisher's sum of their logarithms; p_text: probability that written text of this length
+    is as even.  Stored: filters on the result must not be pushed into the tests.
     """
     rows = candidates.withColumn("_e", encoding(F.col("value")))
     rows = rows.select(
@@ -165,7 +176,7 @@ def tested(candidates: DataFrame) -> DataFrame:
     # A noncentral law with offset o is near a chi-squared law stretched by its variance over its mean.
     offset = F.greatest(F.col("n") * (F.col("k") * squares - 1), F.lit(0.0))
     stretch = (df + 2 * offset) / (df + offset)
-    return rows.select(
+    rows = rows.select(
         *candidates.columns,
         "encoding",
         "n",
@@ -177,6 +188,9 @@ def tested(candidates: DataFrame) -> DataFrame:
         .alias("p_serial"),
         F.greatest(_chi_squared_cdf(x / stretch, (df + offset) / stretch), F.lit(1e-39)).alias("p_text"),
     )
+    return stored(
+        rows.withColumn("fisher", -2 * (F.log("p_even") + F.log("p_runs") + F.log("p_serial"))), "tests"
+    )
 
 
 def accepted(tests: DataFrame) -> DataFrame:
@@ -194,8 +208,8 @@ def accepted(tests: DataFrame) -> DataFrame:
         .groupBy("class")
         .agg(F.min("bin").alias("least_bin"))
     )
-    # Fisher's sum x of three p-values exceeds x with probability exp(-x / 2) (1 + x / 2 + x^2 / 8).
-    total = sum(-2 * F.log(p) for p in ("p_even", "p_runs", "p_serial"))
+    # Fisher's sum of three p-values exceeds x with probability exp(-x / 2) (1 + x / 2 + x^2 / 8).
+    total = F.col("fisher")
     consistent = F.exp(-total / 2) * (1 + total / 2 + total * total / 8) > REJECT
     return rows.join(F.broadcast(cut), "class").filter((F.col("bin") >= F.col("least_bin")) & consistent)
 
