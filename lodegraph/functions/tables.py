@@ -30,6 +30,15 @@ def row_count() -> Column:
     return F.count(F.lit(1))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys over all shuffle partitions, however few bytes they hold.
+
+    For rows that cost much more work than their size tells: windows by these keys need no
+    other shuffle, and small partitions are not joined together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a written table, with the lineage that led to it cut off."""
     return settled_counting(df, row_count())[0]
