@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +34,59 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables(paths: list[str]):
+    """Folders that stored() writes inside this context are added to paths."""
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded folders; rows that are still to be read from them are lost."""
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here.
 
     The table outlives lost executors, and later reads prune its columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_folder(spark)
+    for paths in _recorders:
+        paths.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, stored with a number for each row, and the name of the number's column."""
+    """docs with an identity for each row, and the name of its column.
+
+    Rows that come straight from files are told apart by file and place in it, which no
+    later reading changes; others are stored once with a number.  Two files whose paths have
+    one 64-bit hash would share identities: with ten million files a chance of about 3e-6.
+    """
     name = "_row"
     while name in docs.columns:
         name = f"_{name}"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select("*", place.alias(name)), name
+    except AnalysisException:  # not rows of files
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def row_type(docs: DataFrame, row: str | None) -> str:
+    """The type of the column of row numbers, in a schema string."""
+    return docs.schema[row].dataType.simpleString() if row else "long"
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import numbered, small_batches, stored, text_bytes
+from lodegraph.llm.common import numbered, row_type, small_batches, stored, text_bytes
 
 SENDER_ROWS = 1 << 20
 OWNER_ROWS = 1 << 21
@@ -178,7 +178,7 @@ def classes(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS, row: str
     number = F.col(row) if row else F.monotonically_increasing_id()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row"))
     marked = stored(
-        texts.mapInArrow(_digests(fingerprint_bits), "doc_id long, print long, digest binary, row long"),
+        texts.mapInArrow(_digests(fingerprint_bits), f"doc_id long, print long, digest binary, row {row_type(docs, row)}"),
         "fingerprints",
     )
     total = marked.count()
@@ -191,7 +191,7 @@ def classes(docs: DataFrame, fingerprint_bits: int = FINGERPRINT_BITS, row: str
     suspects = stored(
         sent.groupBy("sender")
         .cogroup(bitmaps.groupBy("sender"))
-        .applyInArrow(_receive(owners), "row long, doc_id long, print long, digest binary"),
+        .applyInArrow(_receive(owners), f"row {row_type(docs, row)}, doc_id long, print long, digest binary"),
         "suspects",
     )
     checked = (
@@ -235,7 +235,7 @@ def _decide(marked: DataFrame, suspects: DataFrame, total: int) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of equal texts; columns unchanged.
 
-    Rows are told apart by a stored number, so repeated and null doc_ids lose no text.
+    Rows are told apart by identities that stay, so repeated and null doc_ids lose no text.
     """
     rows, row = numbered(docs)
     gone = classes(rows, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))

@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while before != (before := _mark(now)):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored, so that the join below has a shuffle of its own on either side: Spark splits the one of a hub.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = (
             both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import small_batches, stored, text_bytes
+from lodegraph.llm.common import numbered, row_type, small_batches, stored, text_bytes
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1 << 14
@@ -128,8 +128,8 @@ def _sizes(batches):
     for batch in batches:
         sizes = [len(t.split()) for t in text_bytes(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "source", "print")), pa.array(sizes, pa.int64())],
-            names=["doc_id", "source", "print", "size"],
+            [*(batch.column(c) for c in ("doc_id", "source", "row")), pa.array(sizes, pa.int64())],
+            names=["doc_id", "source", "row", "size"],
         )
 
 
@@ -158,7 +158,7 @@ def _placed(sized: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
     task holds a whole source.
     """
     rows = sized.join(numbered, sized["source"].eqNullSafe(numbered["name"])).drop("name")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("row")), F.lit(buckets)))
     inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "row")
     rows = rows.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
@@ -169,18 +169,17 @@ def _placed(sized: DataFrame, numbered: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> Mix:
-    """Mix docs (doc_id, text, source).  Sources are few: the driver holds one row for each."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> Mix:
+    """Mix docs (doc_id, text, source; row: the column of row identities, if docs has one).
+
+    Sources are few: the driver holds one row for each.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("print"), "text"
-    )
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", number.alias("row"), "text")
     sized = stored(
-        texts.mapInArrow(_sizes, "doc_id long, source string, print long, size long").withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "sizes",
+        texts.mapInArrow(_sizes, f"doc_id long, source string, row {row_type(docs, row)}, size long"), "sizes"
     )
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -233,7 +232,6 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
             "source_no",
             "row",
             "doc_id",
-            "print",
             (F.col("from") - F.col("first")).alias("first_word"),
             (F.col("to") - F.col("from")).alias("words"),
         )
@@ -260,15 +258,15 @@ def _cut(text: bytes, spans: list[tuple[int, int]], n_words: int) -> bytes:
     return b"\n".join(text[at[first][0] : at[first + n - 1][1]] for first, n in spans)
 
 
-def _written(columns: list[str]):
+def _written(columns: list[str], pieces: str):
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
             out = []
             for row in rows:
                 text, groups = (row["text"] or "").encode(), {}
-                for piece in sorted(row["_pieces"], key=lambda p: (p["row"], p["epoch"], p["first_word"])):
-                    groups.setdefault((piece["row"], piece["epoch"]), []).append((piece["first_word"], piece["words"]))
+                for piece in sorted(row[pieces], key=lambda p: (p["epoch"], p["first_word"])):
+                    groups.setdefault(piece["epoch"], []).append((piece["first_word"], piece["words"]))
                 total = len(text.split())
                 for spans in groups.values():
                     joined = []
@@ -289,17 +287,19 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     """The mix as documents: a row for each document and pass over its source, with the words taken.
 
     A document taken whole twice comes as two rows; n_chars counts the text returned.
-    docs needs doc_id, text, source and n_chars; further columns are carried along.
+    docs needs doc_id, text, source and n_chars; further columns are carried along.  Rows
+    are told apart by identities that stay, so rows with one doc_id and text keep their own
+    columns.
     """
+    rows, row = numbered(docs)
+    name = f"{row}_pieces"
+    while name in rows.columns:
+        name = f"_{name}"
     pieces = (
-        mix(docs, block_words)
-        .pieces.groupBy("doc_id", "print")
-        .agg(F.collect_list(F.struct("row", "epoch", "first_word", "words")).alias("_pieces"))
-        .select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "_pieces")
+        mix(rows, block_words, row=row)
+        .pieces.groupBy("row")
+        .agg(F.collect_list(F.struct("epoch", "first_word", "words")).alias(name))
+        .withColumnRenamed("row", row)
     )
-    marked = docs.withColumn("_print", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
-    once = marked.dropDuplicates(["_id", "_print"])
-    joined = once.join(
-        pieces, once["_id"].eqNullSafe(pieces["_id"]) & once["_print"].eqNullSafe(pieces["_print"])
-    ).select(*docs.columns, "_pieces")
-    return joined.mapInArrow(_written(docs.columns), docs.schema)
+    joined = rows.join(pieces, row).select(*docs.columns, name)
+    return joined.mapInArrow(_written(docs.columns, name), docs.schema)

@@ -42,9 +42,11 @@ with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * c
            from embeddings
            where embedding is not null and vec_id is not null
              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-     s as (select q.vec_id as query_id, c.vec_id,
-                  cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-           from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+     q as (select distinct vec_id, v from v where vec_id % 50 = 0),
+     c as (select *, row_number() over () as n from v),
+     s as (select q.vec_id as query_id, c.n, c.vec_id,
+                  max(cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint)) as score
+           from q join c on c.vec_id <> q.vec_id and len(q.v) = len(c.v) group by all),
      r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
            from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""

@@ -123,23 +123,19 @@ def cut_key(rows: DataFrame, keys: list[str], k: int) -> list[int]:
             found.append(low)
             continue
         low, width = int(low), max(1, (int(high) - int(low)).bit_length())
-        # Differences may pass the range of a long: shift halves first where they do.
-        place = F.col(key).cast("decimal(38,0)") - F.lit(low) if width > 62 else F.col(key) - F.lit(low)
-        prefix, shift = 0, -(-width // DIGIT_BITS) * DIGIT_BITS
-        while shift:
+        kind = "decimal(38,0)" if width > 62 else "long"  # differences may pass the range of a long
+        shift = -(-width // DIGIT_BITS) * DIGIT_BITS
+        while shift and n > 1:
             shift -= DIGIT_BITS
-            power = F.lit(1 << shift).cast("decimal(38,0)") if width > 62 else F.lit(1 << shift)
-            digit = F.floor(place / power) if width > 62 else F.shiftright(place, shift)
-            bins = rows.groupBy(digit.cast("long").alias("digit")).agg(F.count(F.lit(1)).alias("n")).collect()
+            place = F.col(key).cast(kind) - F.lit(low).cast(kind)
+            digit = F.call_function("div", place, F.lit(1 << shift).cast(kind))
+            bins = rows.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).collect()
             for row in sorted(bins, key=lambda r: r["digit"]):
                 if k <= row["n"]:
                     break
                 k -= row["n"]
-            prefix, rows = row["digit"], rows.filter(digit.cast("long") == row["digit"])
-            if row["n"] == 1:
-                prefix = None
-                break
-        found.append(int(rows.agg(F.min(key)).first()[0]) if prefix is None else low + prefix)
+            rows, n, low = rows.filter(digit == row["digit"]), row["n"], low + (row["digit"] << shift)
+        found.append(int(rows.agg(F.min(key)).first()[0]) if n == 1 else low)
     return found
 
 

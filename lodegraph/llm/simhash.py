@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import numbered, small_batches, stored, text_bytes
+from lodegraph.llm.common import numbered, row_type, small_batches, stored, text_bytes
 from lodegraph.llm.grouping import components, join_groups
 
 SHINGLE_WORDS = 5
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, row: str |
     small_batches(docs.sparkSession)
     number = F.col(row) if row else F.monotonically_increasing_id()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("row")).mapInArrow(
-        _fingerprints(shingle_words), "doc_id long, print long, row long"
+        _fingerprints(shingle_words), f"doc_id long, print long, row {row_type(docs, row)}"
     )
 
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, row: st
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """docs with one row of each component, of the smallest doc_id; columns unchanged.
 
-    Rows are told apart by a stored number; rows without doc_id are the last choice.
+    Rows are told apart by identities that stay; rows without doc_id are the last choice.
     """
     rows, row = numbered(docs)
     gone = near_duplicates(rows, shingle_words, row).filter("not kept").select(F.col("row").alias(row))

@@ -20,9 +20,9 @@ Defined results: vectors that are null, or hold null or non-finite components, t
 part, nor do rows without vec_id; components beyond +-2**62 / 256 count as that bound, and
 a score beyond a long as the nearest long; only vectors of one length are compared, those
 of length 0 with score 0; a query is its vec_id, and rows with that vec_id are no
-candidates of it; each row of a repeated vec_id is a candidate and a query of its own,
-and a vec_id's rank is over the results of all its rows; an empty table gives an empty
-result.
+candidates of it; each row of a repeated vec_id is a candidate of its own; equal rows of
+a query are one query, and where a query's rows differ, a candidate row has the highest
+of its scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -313,7 +313,7 @@ SCORE = (
 def _exact(wanted: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """wanted (query, row, ...) with the ids and the exact score."""
     return wanted.join(vectors.select("row", "vec_id", "v"), "row").join(queries, "query").select(
-        "query", "query_id", "vec_id", F.expr(SCORE).alias("score")
+        "query", "query_id", "row", "vec_id", F.expr(SCORE).alias("score")
     )
 
 
@@ -328,7 +328,7 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     copy = Window.partitionBy("v").orderBy("vec_id", "row")
     few = all_rows.withColumn("_n", F.row_number().over(repeat)).filter(f"_n <= {k}")
     rows = stored(few.withColumn("_n", F.row_number().over(copy)).filter(f"_n <= {2 * k}").drop("_n"), "candidates")
-    queries = all_rows.filter(is_query)
+    queries = stored(all_rows.filter(is_query).groupBy("vec_id", "dims", "v").agg(F.min("row").alias("row")), "asked")
     found = stored(bounds(rows, queries, k), "bounds")
     open_ = found.join(_kth(found, "lower", k, "least"), "query", "left").filter(
         "least is null or upper >= least"
@@ -341,6 +341,7 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     first = stored(_exact(waves.filter(f"_n <= {k}"), rows, query_rows), "first")
     second = waves.filter(f"_n > {k}").join(_kth(first, "score", k, "certain"), "query").filter("upper >= certain")
     scores = first.unionByName(_exact(second, rows, query_rows))
+    scores = scores.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {k}").select(
         "query_id", "rank", "vec_id", "score"
