@@ -45,8 +45,66 @@ def closure(edges: DataFrame) -> DataFrame:
         count = now
 
 
+def shortcuts(links: DataFrame, times: int = 2, most: int = 64) -> DataFrame:
+    """links (source, target) and more: paths of up to 2 ** times links as one.
+
+    Only nodes with few pairs of a link in and a link out are passed by, so that hubs add
+    no product of their neighbours.
+    """
+    now = settled(proper(links))
+    for _ in range(times):
+        into = now.groupBy(F.col("target").alias("id")).agg(row_count().alias("n"))
+        out = now.groupBy(F.col("source").alias("id")).agg(row_count().alias("m"))
+        mids = into.join(out, "id").filter(F.col("n") * F.col("m") <= most).select("id")
+        start = now.select("source", F.col("target").alias("id")).join(mids, "id")
+        longer = start.join(now.select(F.col("source").alias("id"), "target"), "id").select("source", "target")
+        now = settled(proper(now.unionByName(longer)))
+    return now
+
+
+class ReachBits:
+    """Which of the nodes seeds (id) each node reaches along links, as bits packed in words.
+
+    places: id, word, mask of the seeds; rows: id, word, bits, where a seed has its own bit.
+    With back, links are followed the other way as well, and both tables tell the ways
+    apart by a column way.  A round pushes the bits that came new in the round before; words
+    without bits have no row, so n nodes hold at most n * seeds / 64 rows.
+    """
+
+    def __init__(self, links: DataFrame, seeds: DataFrame, back: bool = False):
+        links = shortcuts(links)
+        ways = [links.withColumn("way", F.lit(0))] + ([turned(links).withColumn("way", F.lit(1))] if back else [])
+        for more in ways[1:]:
+            ways[0] = ways[0].unionByName(more)
+        links = settled(ways[0])
+        # Numbers are dense within a partition, which is all that packing asks for.
+        numbers = settled(seeds.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
+        self.places = numbers.select("id", F.shiftright("n", 6).alias("word"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("mask"))
+        start = self.places.select("id", "word", F.col("mask").alias("bits"), F.col("mask").alias("fresh"))
+        start = start.withColumn("way", F.explode(F.array(*(F.lit(w) for w in range(1 + back)))))
+        rows, n = settled_counting(start, row_count())
+        keys = ["way", "id", "word"]
+        while n:
+            front = rows.filter("fresh <> 0").select("way", F.col("id").alias("target"), "word", "fresh")
+            pushed = links.join(front, ["way", "target"]).groupBy("way", F.col("source").alias("id"), "word").agg(F.expr("bit_or(fresh)").alias("came"))
+            both = rows.select(*keys, "bits").join(pushed, keys, "full")
+            old, came = F.coalesce("bits", F.lit(0)), F.coalesce("came", F.lit(0))
+            rows, n = settled_counting(
+                both.select(*keys, old.bitwiseOR(came).alias("bits"), came.bitwiseAND(F.bitwise_not(old)).alias("fresh")),
+                F.count_if(F.expr("fresh <> 0")),
+            )
+        self.rows = rows.drop("fresh")
+
+    def counts(self, sizes: DataFrame) -> DataFrame:
+        """way, id, reached: sum of the sizes (id, size) of the seeds that a node reaches, itself included."""
+        large = self.places.join(sizes.filter("size > 1"), "id").select("word", "mask", (F.col("size") - 1).alias("more"))
+        ones = self.rows.groupBy("way", "id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
+        rest = self.rows.join(large, "word").filter("(bits & mask) <> 0").groupBy("way", "id").agg(F.sum("more").alias("more"))
+        return ones.join(rest, ["way", "id"], "left").select("way", "id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("reached"))
+
+
 class Condensed:
-    """A graph with each cycle as one node: place (id, cycle, size), links, and pairs reached."""
+    """A graph with each cycle as one node: place (id, cycle, size) and links."""
 
     def __init__(self, edges: DataFrame):
         own = settled(proper(edges))
@@ -56,14 +114,7 @@ class Condensed:
         sizes = place.groupBy("cycle").agg(row_count().alias("size"))
         self.place = settled(place.join(sizes, "cycle"))
         self.links = settled(condensed(own, cycle))
-        self._pairs = None
-
-    @property
-    def pairs(self) -> DataFrame:
-        """source, target: pairs of different condensed nodes, the one reaching the other."""
-        if self._pairs is None:
-            self._pairs = closure(self.links)
-        return self._pairs
+        self._counts = None
 
     def cycles(self) -> DataFrame:
         """id, cycle, cycle_size of the members of cycles."""
@@ -75,14 +126,15 @@ class Condensed:
 
     def counts(self) -> DataFrame:
         """id, dependencies, dependents of every node with an edge."""
-        sizes = self.place.select("cycle", "size").distinct()
-        sides = []
-        for near, far, name in (("source", "target", "f"), ("target", "source", "b")):
-            rows = self.pairs.join(sizes, F.col(far) == F.col("cycle")).select(F.col(near).alias("cycle"), "size")
-            sides.append(rows.groupBy("cycle").agg(F.sum("size").alias(name)))
-        rows = self.place.join(sides[0], "cycle", "left").join(sides[1], "cycle", "left").fillna(0, ["f", "b"])
-        inside = F.col("size") - 1
-        return rows.select("id", (F.col("f") + inside).alias("dependencies"), (F.col("b") + inside).alias("dependents"))
+        if self._counts is None:
+            sizes = self.place.select(F.col("cycle").alias("id"), "size").distinct()
+            reached = ReachBits(self.links, sizes, back=True).counts(sizes)
+            found = reached.groupBy(F.col("id").alias("cycle")).agg(
+                F.max(F.when(F.col("way") == 0, F.col("reached"))).alias("f"), F.max(F.when(F.col("way") == 1, F.col("reached"))).alias("b")
+            )
+            rows = self.place.join(found, "cycle")
+            self._counts = settled(rows.select("id", (F.col("f") - 1).alias("dependencies"), (F.col("b") - 1).alias("dependents")))
+        return self._counts
 
 
 def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,11 +151,15 @@ def unrelated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     start = graph.place.select(F.col("id").alias("source"), F.col("cycle").alias("_s"))
     end = graph.place.select(F.col("id").alias("target"), F.col("cycle").alias("_t"))
     rows = pairs.join(start, "source", "left").join(end, "target", "left")
-    rows = rows.filter(F.col("_s").isNull() | F.col("_t").isNull() | (F.col("_s") != F.col("_t")))
-    reach = graph.pairs
-    forward = reach.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
-    backward = reach.select(F.col("target").alias("_s"), F.col("source").alias("_t"))
-    return rows.join(forward, ["_s", "_t"], "left_anti").join(backward, ["_s", "_t"], "left_anti").select(*pairs.columns)
+    rows = settled(rows.filter(F.col("_s").isNull() | F.col("_t").isNull() | (F.col("_s") != F.col("_t"))))
+    ends = rows.select(F.explode(F.array("_s", "_t")).alias("id")).filter("id is not null").distinct()
+    bits = ReachBits(graph.links, ends)
+    for near, far in (("_s", "_t"), ("_t", "_s")):
+        seen = bits.places.select(F.col("id").alias(far), F.col("word").alias("_w"), F.col("mask").alias("_m"))
+        held = bits.rows.select(F.col("id").alias(near), F.col("word").alias("_w"), F.col("bits").alias("_b"))
+        asked = rows.select(near, far).distinct().join(seen, far).join(held, [near, "_w"]).filter("(_b & _m) <> 0")
+        rows = rows.join(asked.select("_s", "_t"), ["_s", "_t"], "left_anti")
+    return rows.select(*pairs.columns)
 
 
 def levels(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
