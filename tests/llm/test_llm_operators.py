@@ -501,6 +501,8 @@ def test_bpe_agrees_with_the_library(spark, odd, empty, documents):
         assert list(np.frombuffer(got[i]["ids"], "<u4")) == ids
         assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode(odd, path).count() == odd.count() and bpe.encode(empty, path).count() == 0
+    whole = {r["doc_id"]: tuple(r) for r in bpe.round_trip(frame(spark, texts), path).collect()}
+    assert whole == {i: tuple(r) for i, r in got.items()} and bpe.round_trip(empty, path).count() == 0
 
 
 # ---------------------------------------------------------------- mixing
