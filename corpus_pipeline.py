@@ -65,7 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and digests of the ids and the decoded text of each row."""
     path = vocabulary_path()
-    rows = bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang", "source")), path)
+    rows = bpe.round_trip(docs, path, keep=("doc_id", "lang", "source"))
     return rows.select(
         "doc_id",
         "lang",
