@@ -240,12 +240,12 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without the documents that the classifier rejects; columns unchanged.
 
-    A row's own text decides, in the pass that hands the row on: no row is stored or
-    shuffled, so repeated and null doc_ids cannot be mixed up.
+    A row's own text decides, in the pass that hands the row on: no text is stored or
+    shuffled, so repeated and null doc_ids cannot be mixed up.  The statistics are taken
+    twice instead: once for training, once for the verdict.
     """
     known = training_labels(labels, "quality")
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id", "left_semi")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(document_statistics(labelled), known))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(document_statistics(docs), known))
 
     def run(batches):
         model = sent.value
