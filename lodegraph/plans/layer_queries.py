@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.adapters.star_schema import with_tables
 from lodegraph.functions.tables import settled
-from lodegraph.operators import closure, diffs, layers, text
+from lodegraph.operators import closure, diffs, history, layers, text
 
 
 def route(m):
@@ -56,10 +56,9 @@ def tiers(m):
 
 
 def first_pairs(m):
-    """The 2000 pairs of files that first stood in one commit."""
-    files = m.commit_files.join(m.commits, "hash")
-    pairs = files.alias("a").join(files.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.path") < F.col("b.path")))
-    firsts = pairs.groupBy(F.col("a.path").alias("source"), F.col("b.path").alias("target")).agg(F.min("a.hash").alias("first"))
+    """The 2000 pairs of files that first stood in one commit; commits of more than 50 files form no pairs."""
+    files = m.commit_files.join(m.commits.select("hash"), "hash")
+    firsts = history.pairs(files, 50).select("source", "target", "first")
     return layers.first_seen_cap(firsts, 2000)
 
 
@@ -103,7 +102,8 @@ QUERIES = {
     "w07_first_pairs": (
         first_pairs,
         with_tables("commits commit_files", """select a.path as source, b.path as target, min(a.hash) as first from commit_files a
-          join commit_files b on a.hash = b.hash and a.path < b.path join commits c on c.hash = a.hash group by 1, 2 order by first, source, target limit 2000"""),
+          join commit_files b on a.hash = b.hash and a.path < b.path join commits c on c.hash = a.hash
+          where a.hash in (select hash from commit_files group by hash having count(*) <= 50) group by 1, 2 order by first, source, target limit 2000"""),
     ),
     "t11_function_changes": (
         function_changes,
