@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.adapters.star_schema import Model
 
-MODULES = ("graph_queries", "join_queries", "layer_queries", "reader_queries", "reference_queries", "rollup_queries", "score_queries", "text_queries", "token_queries")
+MODULES = ("document_queries", "graph_queries", "join_queries", "layer_queries", "reader_queries", "reference_queries", "rollup_queries", "score_queries", "text_queries", "token_queries")
 
 
 def _all() -> dict:
