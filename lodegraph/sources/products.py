@@ -68,7 +68,9 @@ def dbt_exposures(files: DataFrame) -> DataFrame:
 def dbt_references(files: DataFrame) -> DataFrame:
     """file, line, kind, source, target of ref() and source() in model files.
 
-    A call whose arguments are not literals alone is 'unresolved' and its text the target.
+    A call with other than one literal for each argument is 'unresolved' and its text the
+    target.  Arguments end at the first bracket and literals are only counted: ref(var('v'))
+    names 'v'.
     """
     models = files.filter(F.col("file").endswith(".sql")).join(_members(files).filter("folder = 'models'").select("file").distinct(), "file", "left_semi")
     found = outline.matches(models, r"\b(?:ref|source)\s*\([^)]*\)")
