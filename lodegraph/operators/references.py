@@ -104,13 +104,8 @@ def type_references(uses: DataFrame, files: DataFrame, edges: DataFrame) -> Data
     return out.unionByName(folder.select("file", "name", "target", F.lit("same-folder").alias("basis")))
 
 
-def dependency_imports(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """ecosystem, name, file: imports (ecosystem, package, file) of dependencies (ecosystem, name).
-
-    Cargo names are compared with dashes.  A Maven import belongs to a coordinate whose group
-    is a leading part of it, or the published group of its root: its leading parts are
-    exploded into an equality join.
-    """
+def _dependency_keys(imports: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What imports (ecosystem, file, key) and dependencies (ecosystem, name, key) meet on; a dependency has one key."""
     plain = F.when(F.col("ecosystem") == "cargo", F.translate("name", "_", "-")).otherwise(F.col("name"))
     keyed = dependencies.select(
         "ecosystem", "name", F.when(F.col("ecosystem") == "maven", F.substring_index("name", ":", 1)).otherwise(plain).alias("key")
@@ -120,10 +115,30 @@ def dependency_imports(imports: DataFrame, dependencies: DataFrame) -> DataFrame
     parts = F.transform(parts, lambda p: F.regexp_replace(p, r"\\\.", "."))
     known = F.array_compact(F.transform(parts, lambda p: groups[p]))
     keys = F.when(F.col("ecosystem") == "maven", F.array_distinct(F.concat(parts, known))).otherwise(F.array("package"))
-    rows = imports.select("ecosystem", "file", F.explode(keys).alias("key"))
+    return imports.select("ecosystem", "file", F.explode(keys).alias("key")), keyed
+
+
+def dependency_imports(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """ecosystem, name, file: imports (ecosystem, package, file) of dependencies (ecosystem, name).
+
+    Cargo names are compared with dashes.  A Maven import belongs to a coordinate whose group
+    is a leading part of it, or the published group of its root: its leading parts are
+    exploded into an equality join.
+    """
+    rows, keyed = _dependency_keys(imports, dependencies)
     return rows.join(keyed, ["ecosystem", "key"]).select("ecosystem", "name", "file").distinct()
 
 
+def dependency_files(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """ecosystem, name, files, first_file: dependency_imports() counted for each dependency.
+
+    Files are counted by key, before they meet the coordinates that share a key.
+    """
+    rows, keyed = _dependency_keys(imports, dependencies)
+    counts = rows.distinct().groupBy("ecosystem", "key").agg(F.count("file").alias("files"), F.min("file").alias("first_file"))
+    return counts.join(keyed, ["ecosystem", "key"]).select("ecosystem", "name", "files", "first_file")
+
+
 def template_callers(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     """endpoint, call: calls (call, method, host, path) that fit a path template (endpoint, method, host, path).
 

@@ -95,8 +95,7 @@ def imported_packages(m):
 
 
 def dependency_imports(m):
-    found = references.dependency_imports(imported_packages(m).distinct(), dependencies(m))
-    return found.groupBy("ecosystem", "name").agg(F.count(F.lit(1)).alias("files"), F.min("file").alias("first_file"))
+    return references.dependency_files(imported_packages(m).distinct(), dependencies(m))
 
 
 def callers(m):
