@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodegraph.functions.tables import settled
+
 # Separators of the log format (records and fields).
 RECORD, FIELD = "\u001e", "\u001f"
 RULE_ROWS, RULES_AT_ONCE = 10_000, 200
@@ -163,11 +165,17 @@ def npm_lock(texts: DataFrame) -> DataFrame:
 def codeowners(files: DataFrame, rules: DataFrame) -> DataFrame:
     """path, owner: the last rule (ordinal, pattern, owner) whose regular expression matches.
 
-    Rules are declared by people and at most RULE_ROWS; more raise an error.
+    Of rules with one pattern only the last counts.  At most RULE_ROWS patterns become
+    expressions, so that files are read once and never paired with all rules; more than
+    these are a join of files and patterns.
     """
-    found = rules.orderBy("ordinal").limit(RULE_ROWS + 1).collect()
+    named = rules.filter("pattern is not null and owner is not null").groupBy("pattern").agg(F.max(F.struct("ordinal", "owner")).alias("last"))
+    last = settled(named.select("pattern", "last.*"))
+    found = last.orderBy("ordinal", "owner").limit(RULE_ROWS + 1).collect()
     if len(found) > RULE_ROWS:
-        raise ValueError(f"more than {RULE_ROWS} rules")
+        hits = files.select("path").distinct().join(last, F.expr("path rlike pattern"))
+        best = hits.groupBy("path").agg(F.max(F.struct("ordinal", "owner")).alias("last"))
+        return files.select("path").join(best, "path").select("path", "last.owner")
     owner = F.lit(None).cast("string")
     for at in range(0, len(found), RULES_AT_ONCE):
         # Rules become expressions, so that files are read once and never paired with all rules.
