@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.paths import directory, joined
@@ -142,20 +142,42 @@ def dependency_files(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
 def template_callers(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     """endpoint, call: calls (call, method, host, path) that fit a path template (endpoint, method, host, path).
 
-    Templates and calls meet on their number of segments and the first one; parameters stand
-    for any one segment.  A call without method or host fits any.
+    Templates and calls meet on their number of segments, the first and the last one; parameters
+    stand for any one segment.  A call without method or host fits any.
     """
     open_ = r"^(\{[^}]*\}|:[A-Za-z_]+|<[^>]*>)$"
     split = lambda c: F.filter(F.split(c, "/"), lambda s: s != "")
     ends = endpoints.select("endpoint", F.col("method").alias("m"), F.col("host").alias("h"), split(F.col("path")).alias("t"))
-    ends = ends.withColumn("n", F.size("t")).withColumn("head", F.when(~F.try_element_at("t", F.lit(1)).rlike(open_), F.try_element_at("t", F.lit(1))))
+    fixed = lambda at: F.when(~F.try_element_at("t", F.lit(at)).rlike(open_), F.try_element_at("t", F.lit(at)))
+    ends = settled(ends.withColumn("n", F.size("t")).withColumn("head", fixed(1)).withColumn("tail", fixed(-1)))
     rows = calls.select("call", "method", "host", split(F.col("path")).alias("p"))
-    rows = rows.withColumn("n", F.size("p")).withColumn("head", F.try_element_at("p", F.lit(1)))
-    named = rows.join(ends, ["n", "head"])
-    free = rows.join(ends.filter("head is null").drop("head"), "n").select(*named.columns)
+    rows = rows.withColumn("n", F.size("p")).withColumn("head", F.try_element_at("p", F.lit(1))).withColumn("tail", F.try_element_at("p", F.lit(-1)))
+    met = None
+    for known in (["head", "tail"], ["head"], ["tail"], []):
+        unknown = [c for c in ("head", "tail") if c not in known]
+        part = ends.filter(" and ".join([f"{c} is not null" for c in known] + [f"{c} is null" for c in unknown])).drop(*unknown)
+        part = rows.join(part, ["n", *known]).select("call", "method", "host", "p", "endpoint", "m", "h", "t")
+        met = part if met is None else met.unionByName(part)
     fits = F.forall(F.arrays_zip("t", "p"), lambda x: (x["t"] == x["p"]) | x["t"].rlike(open_))
     same = (F.col("method").isNull() | (F.col("method") == F.col("m"))) & (F.col("host").isNull() | F.col("host").eqNullSafe(F.col("h")))
-    return named.unionByName(free).filter(fits & same).select("endpoint", "call").distinct()
+    return met.filter(fits & same).select("endpoint", "call").distinct()
+
+
+def template_calls(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
+    """endpoint, calls: template_callers() counted for each endpoint.
+
+    Callers are counted once for each method, host and path that endpoints share; only endpoints of
+    several of these meet their calls one by one.
+    """
+    keys = ["method", "host", "path"]
+    endpoints = settled(endpoints.select("endpoint", *keys).distinct().withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("endpoint"))))
+    shapes = settled(endpoints.select(*keys).distinct().withColumn("shape", F.monotonically_increasing_id()))
+    met = template_callers(shapes.select(F.col("shape").alias("endpoint"), *keys), calls)
+    counts = shapes.join(met.groupBy(F.col("endpoint").alias("shape")).agg(F.count("call").alias("calls")), "shape")
+    same = F.col("e.method").eqNullSafe(F.col("c.method")) & F.col("e.host").eqNullSafe(F.col("c.host")) & (F.col("e.path") == F.col("c.path"))
+    sole = endpoints.filter("_n = 1").alias("e").join(counts.alias("c"), same).select("endpoint", "calls")
+    several = template_callers(endpoints.filter("_n > 1"), calls).groupBy("endpoint").agg(F.count("call").alias("calls"))
+    return sole.unionByName(several)
 
 
 def presence_states(declared: DataFrame, live: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -111,7 +111,7 @@ def callers(m):
         F.when(F.col("l_linestatus") == "F", "h").alias("host"),
         F.concat(F.lit("/"), F.col("p_brand"), F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.translate("p_type", " ", "-")).alias("path"),
     )
-    return references.template_callers(ends, calls).groupBy("endpoint").agg(F.count(F.lit(1)).alias("calls"))
+    return references.template_calls(ends, calls)
 
 
 def live_drift(m):
