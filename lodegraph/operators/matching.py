@@ -52,12 +52,14 @@ def prefixes(path: Column, separator: str = "/") -> Column:
 def longest_prefix(rows: DataFrame, path: str, units: DataFrame, default: str = ".") -> DataFrame:
     """rows with unit: the deepest of units (unit) that encloses path, else default.
 
-    Ancestors are exploded into an equality join, so no row is compared with all units.
+    Ancestors are exploded into an equality join, so no row is compared with all units.  Each
+    path is placed once and rows take its unit by the path itself: numbers given to rows would
+    differ between the two sides of that join whenever their rows come in another order.
     """
-    tagged = rows.withColumn("_row", F.monotonically_increasing_id())
-    up = tagged.select("_row", F.posexplode(prefixes(F.col(path))).alias("_depth", "unit"))
-    best = up.join(units.select("unit").distinct(), "unit").groupBy("_row").agg(F.max_by("unit", "_depth").alias("unit"))
-    return tagged.join(best, "_row", "left").drop("_row").withColumn("unit", F.coalesce("unit", F.lit(default)))
+    places = rows.select(F.col(path).alias("_path")).filter(F.col(path).isNotNull()).distinct()
+    up = places.select("_path", F.posexplode(prefixes(F.col("_path"))).alias("_depth", "unit"))
+    best = up.join(units.select("unit").distinct(), "unit").groupBy("_path").agg(F.max_by("unit", "_depth").alias("unit"))
+    return rows.join(best, F.col(path) == F.col("_path"), "left").drop("_path").withColumn("unit", F.coalesce("unit", F.lit(default)))
 
 
 def package_flows(publishers: DataFrame, imports: DataFrame) -> DataFrame:
