@@ -206,10 +206,9 @@ def advisory_impact(advisories: DataFrame, imports: DataFrame, edges: DataFrame)
     advisories: advisory, ecosystem, name.  imports: ecosystem, name, file.
     """
     seeds = settled(advisories.join(imports, ["ecosystem", "name"]).select("advisory", F.col("file").alias("id")).distinct())
-    found = closure.levels(closure.turned(edges), seeds, ("advisory",))
-    counts = found.groupBy("advisory").agg(
-        F.count_if(F.col("distance") == 0).alias("importers"), F.count(F.lit(1)).alias("affected")
-    )
+    found = closure.Condensed(edges).beyond(seeds.withColumnRenamed("advisory", "key"), back=True).withColumnRenamed("key", "advisory")
+    counts = seeds.groupBy("advisory").agg(F.count(F.lit(1)).alias("importers")).join(found, "advisory", "left")
+    counts = counts.select("advisory", "importers", (F.col("importers") + F.coalesce("reached", F.lit(0))).alias("affected"))
     return advisories.select("advisory").distinct().join(counts, "advisory", "left").fillna(0)
 
 
