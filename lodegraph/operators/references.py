@@ -243,10 +243,9 @@ def tiered_impact(changed: DataFrame, names: DataFrame, edges: DataFrame) -> Dat
     sums = hits.groupBy(F.col("target").alias("file")).agg(
         F.count_if("hit").alias("definite"), F.count_if(~F.col("hit")).alias("possible")
     )
-    seeds = changed.select(F.col("file").alias("origin"), F.col("file").alias("id"))
-    down = closure.levels(closure.turned(edges), seeds, ("origin",)).filter("distance > 0")
-    reach = down.groupBy(F.col("origin").alias("file")).agg(F.count(F.lit(1)).alias("reachable"))
-    return sums.join(reach, "file")
+    groups = changed.select(F.col("file").alias("key"), F.col("file").alias("id"))
+    reach = closure.Condensed(edges).beyond(groups, back=True).filter("reached > 0")
+    return sums.join(reach.select(F.col("key").alias("file"), F.col("reached").alias("reachable")), "file")
 
 
 def contract_impact(governed: DataFrame, derives: DataFrame) -> DataFrame:
