@@ -255,8 +255,8 @@ def contract_impact(governed: DataFrame, derives: DataFrame) -> DataFrame:
         F.count_distinct("unit").alias("units"),
         F.count_distinct("repository").alias("repositories"),
     )
-    seeds = governed.select("contract", F.col("dataset").alias("id")).distinct()
-    down = closure.levels(derives, seeds, ("contract",)).filter("distance > 0").groupBy("contract").agg(F.count(F.lit(1)).alias("downstream"))
+    groups = governed.select(F.col("contract").alias("key"), F.col("dataset").alias("id"))
+    down = closure.Condensed(derives).beyond(groups).select(F.col("key").alias("contract"), F.col("reached").alias("downstream"))
     return sums.join(down, "contract", "left").fillna(0, ["downstream"])
 
 
