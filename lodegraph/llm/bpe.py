@@ -8,7 +8,7 @@ and some part of the other have a merge that comes before both are taken up (of
 merges the left one comes first).  Those tests run over arrays of pairs, each pair once
 per worker; only words with a failing pair are merged step by step.
 
-Each worker keeps the words it has met, up to CACHE_WORDS.
+Each worker keeps the words it has met, up to CACHE_WORDS of this turn and as many of the one before.
 
 Defined results: null text counts as empty and has no tokens; the text of the special
 token is that token, as in the tokenizers library; rows may repeat; further columns
@@ -34,8 +34,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 CACHE_WORDS = 150_000
 CACHE_PAIRS = 250_000
 NEVER = np.int64(1 << 40)
-NO_MERGE = (1 << 40, -1)
+NO_MERGE = 1 << 62
 SHORT_WORD = 48
+BEGINNING = 4
+SHORT_SIZES = tuple(range(BEGINNING - 1, 0, -1))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,10 +68,11 @@ class Bpe:
         left, right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         for rank, (a, b) in enumerate(pairs):
             a, b, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merge[a, b] = rank, whole
+            # One number, the smaller the earlier: the rank, then the token that it makes.
+            self.merge[a, b] = rank << 20 | whole
             left[whole], right[whole], made[whole] = a, b, rank
         keys = np.array([a << 20 | b for a, b in self.merge], np.int64)
-        ranks = np.array([r for r, _ in self.merge.values()], np.int64)
+        ranks = np.array([*self.merge.values()], np.int64) >> 20
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], ranks[order]
         self._right, self._left = self._chain(right, made), self._chain(left, made)
@@ -77,14 +80,19 @@ class Bpe:
         odd = self._crossed(left[whole], right[whole], skip_top=True)
         for i in whole[odd].tolist():
             self.id_of.pop(self.token[i], None)
-        self.reach: dict[bytes, int] = {}
+        # Lengths of the tokens with each beginning, the longest first.
+        sizes: dict[bytes, set[int]] = {}
         for t in self.id_of:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+            if len(t) >= BEGINNING:
+                sizes.setdefault(t[:BEGINNING], set()).add(len(t))
+        self.sizes = {t: (*sorted(n, reverse=True), *SHORT_SIZES) for t, n in sizes.items()}
         self.byte = [self.id_of[bytes([b])] for b in range(256)]
         splits = "|".join(regex.escape(t) for t in self.special)
         self.split = regex.compile(f"({splits})") if splits else None
         self.words = regex.compile(PATTERN)
+        # Words of the turn before are taken over when they are met again.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.fine: dict[int, bool] = {}
 
     @staticmethod
@@ -122,19 +130,20 @@ class Bpe:
         return crossed
 
     def _propose(self, word: bytes) -> list[int]:
-        out, at, end, ids, reach = [], 0, len(word), self.id_of, self.reach.get
+        out, at, end, known, sizes = [], 0, len(word), self.id_of.get, self.sizes.get
         while at < end:
-            for to in range(min(end, at + reach(word[at : at + 2], 1)), at, -1):
-                token = ids.get(word[at:to])
+            for size in sizes(word[at : at + BEGINNING], SHORT_SIZES):
+                part = word[at : at + size]
+                token = known(part)
                 if token is not None:
                     out.append(token)
-                    at = to
+                    at += len(part)
                     break
         return out
 
     def merged(self, word: bytes) -> list[int]:
         """Exact BPE of one word: lowest rank first, leftmost of equals."""
-        ids = [self.byte[b] for b in word]
+        ids = list(map(self.byte.__getitem__, word))
         return self._merged_long(ids) if len(ids) > SHORT_WORD else self._merged_short(ids)
 
     def _merged_short(self, ids: list[int]) -> list[int]:
@@ -143,10 +152,10 @@ class Bpe:
         found = [merge(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
         while found:
             best = min(found)
-            if best is NO_MERGE:
+            if best == NO_MERGE:
                 break
             at = found.index(best)
-            ids[at : at + 2] = [best[1]]
+            ids[at : at + 2] = [best & 0xFFFFF]
             del found[at]
             if at:
                 found[at - 1] = merge((ids[at - 1], ids[at]), NO_MERGE)
@@ -160,14 +169,14 @@ class Bpe:
         heap = []
         for i in range(len(ids) - 1):
             if found := self.merge.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, ids[i], ids[i + 1]))
+                heap.append((found, i, ids[i], ids[i + 1]))
         heapq.heapify(heap)
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else len(ids)
             if j >= len(ids) or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.merge[a, b][1], -1
+            ids[i], ids[j] = self.merge[a, b] & 0xFFFFF, -1
             after[i] = after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
@@ -175,16 +184,18 @@ class Bpe:
                 if left >= 0 and after[left] < len(ids):
                     pair = ids[left], ids[after[left]]
                     if found := self.merge.get(pair):
-                        heapq.heappush(heap, (found[0], left, *pair))
+                        heapq.heappush(heap, (found, left, *pair))
         return [t for t in ids if t >= 0]
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         if len(self.fine) > CACHE_PAIRS:
             self.fine.clear()
-        new = [w for w in words if w not in self.known]
+        known, before = self.known, self.before
+        known.update([(w, before[w]) for w in words if w not in known and w in before])
+        new = [w for w in words if w not in known]
         if not new:
             return
         raw = [w.encode() for w in new]
@@ -199,9 +210,11 @@ class Bpe:
             self.fine.update(zip(unseen.tolist(), (~crossed).tolist()))
         good = np.array([self.fine[p] for p in pairs.tolist()], bool)
         failing = set(word_of[inner][~good[at]].tolist()) if len(inner) else set()
+        held, at = flat.astype("<u4").tobytes(), 0
         for i, word in enumerate(new):
-            ids = self.merged(raw[i]) if i in failing else proposed[i]
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            end = at + 4 * len(proposed[i])
+            self.known[word] = np.array(self.merged(raw[i]), "<u4").tobytes() if i in failing else held[at:end]
+            at = end
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers."""
