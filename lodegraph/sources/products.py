@@ -7,9 +7,16 @@ equality join; products, ports and fields are groups of nodes by the steps of th
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from lodegraph.functions.tables import dealt
 from lodegraph.sources import outline
 
 # ---------------------------------------------------------------- dbt
@@ -158,12 +165,15 @@ def declared(texts: DataFrame, groups_file: str = "groups.yml") -> DataFrame:
     return found.filter(root.isNull() | (F.col("path")[0] == root)).withColumn("product", product).drop("at", "line")
 
 
-def products(nodes: DataFrame) -> DataFrame:
-    """file, document, format, product, name, owner, enforced of declared() nodes; a listed product needs a name."""
+def _attribute_rows() -> list[tuple]:
     rows = [(f, s, "name", i) for f, shapes in NAMES.items() for i, s in enumerate(shapes)]
     rows += [(f, s + tail, "owner", i) for f, shapes in OWNERS.items() for i, (s, tail) in enumerate((s, t) for s in shapes for t in _OWNER)]
-    rows += [("dbt", f"models/[]/{s}contract/enforced", "enforced", 0) for s in ("", "config/")]
-    found = nodes.join(_shapes(nodes.sparkSession, rows, "format string, shape string, attribute string, rank int"), ["format", "shape"], "left")
+    return rows + [("dbt", f"models/[]/{s}contract/enforced", "enforced", 0) for s in ("", "config/")]
+
+
+def products(nodes: DataFrame) -> DataFrame:
+    """file, document, format, product, name, owner, enforced of declared() nodes; a listed product needs a name."""
+    found = nodes.join(_shapes(nodes.sparkSession, _attribute_rows(), "format string, shape string, attribute string, rank int"), ["format", "shape"], "left")
     at = lambda a: F.col("attribute") == a
     first = lambda a: F.min_by("value", F.when(at(a) & F.col("value").isNotNull(), F.col("rank")))
     rows = found.groupBy("file", "document", "format", "product").agg(
@@ -194,18 +204,22 @@ def ports(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("best", best).filter("list = best").drop("list", "best")
 
 
-def fields(nodes: DataFrame) -> DataFrame:
-    """file, document, format, product, dataset, field, type, required, tags of the fields of ports().
-
-    Tags are declared classifications only: 'classification(s)', or else 'pii' where that is true.
-    """
+def _field_rows() -> list[tuple]:
     rows = []
     for (name, _), lists in PORTS.items():
         for s in lists:
             for inner in FIELDS.get(name, ("fields", "columns", "schema")):
                 for a in ("name", "data_type", "type", "required", "nullable", "classification", "classification/[]", "classifications", "classifications/[]", "pii"):
                     rows.append((name, f"{s}/[]/{inner}/[]/{a}", a.removesuffix("/[]"), s.count("/") + 2))
-    shapes = _shapes(nodes.sparkSession, sorted(set(rows)), "format string, shape string, attribute string, steps int")
+    return sorted(set(rows))
+
+
+def fields(nodes: DataFrame) -> DataFrame:
+    """file, document, format, product, dataset, field, type, required, tags of the fields of ports().
+
+    Tags are declared classifications only: 'classification(s)', or else 'pii' where that is true.
+    """
+    shapes = _shapes(nodes.sparkSession, _field_rows(), "format string, shape string, attribute string, steps int")
     found = nodes.filter("value is not null").join(shapes, ["format", "shape"])
     found = found.withColumn("port", F.expr("slice(path, 1, steps)")).withColumn("item", F.expr("slice(path, 1, steps + 2)"))
     at = lambda a: F.min(F.when(F.col("attribute") == a, F.col("value")))
@@ -220,6 +234,106 @@ def fields(nodes: DataFrame) -> DataFrame:
     return rows.join(ports(nodes), keys).drop("port", "item", "direction")
 
 
+PRODUCT_FIELDS = (
+    "file string, format string, name string, owner string, enforced boolean, dataset string, field string, type string, required boolean, tags array<string>"
+)
+_ITEM = re.compile(r"\[\d+\]$", re.ASCII)
+_LIST_OF_MODELS = re.compile(r"(models|sources|exposures)/\[\]")
+
+
+def _lookup(rows: list[tuple]) -> dict:
+    """Rows (format, shape, ...) by format and shape."""
+    found: dict = {}
+    for name, shape, *rest in rows:
+        found.setdefault(name, {}).setdefault(shape, []).append(tuple(rest))
+    return found
+
+
+def _format(file: str, nodes: list[tuple], groups_file: str) -> str | None:
+    """The format of the nodes (path, shape, value) of one document, as declared() tells it."""
+    pairs = {(shape, value) for _, shape, value in nodes if shape in ("kind", "apiVersion", "dataContractSpecification")}
+    told = {shape for shape, value in pairs if value is not None}
+    if ("kind", "DataProduct") in pairs or any(shape.startswith("product/") for _, shape, _ in nodes):
+        return "odps"
+    if "dataContractSpecification" in told:
+        return "datacontract"
+    if ("kind", "DataContract") in pairs and "apiVersion" in told:
+        return "odcs"
+    if any(_LIST_OF_MODELS.match(shape) for _, shape, _ in nodes):
+        return "dbt"
+    grouped = file.rpartition("/")[2] == groups_file and any(shape.startswith("products/[]") for _, shape, _ in nodes)
+    return "groups" if grouped else None
+
+
+def _document_fields(file: str, nodes: list[tuple], groups_file: str, known: tuple[dict, dict, dict]) -> Iterator[tuple]:
+    """The rows of product_fields() of one document's nodes (path, shape, value)."""
+    form = _format(file, nodes, groups_file)
+    if form is None:
+        return
+    listed, root = form in LISTED, {"dbt": "models", "groups": "products"}.get(form)
+    attributes, port_shapes, field_shapes = (k.get(form, {}) for k in known)
+    products, ports, items = {}, {}, {}
+    for path, shape, value in nodes:
+        if root and path[0] != root:
+            continue
+        product = tuple(path[:2]) if listed else ()
+        own = products.setdefault(product, {})
+        if value is None:
+            continue
+        for attribute, rank in attributes.get(shape, ()):
+            if attribute == "enforced":
+                own["enforced"] = own.get("enforced", False) or value == "true"
+            elif attribute not in own or rank < own[attribute][0]:
+                own[attribute] = (rank, value)
+        for direction, place, rank, steps in port_shapes.get(shape, ()):
+            best = ports.setdefault((product, direction), {}).setdefault(place, {})
+            port = tuple(path[:steps])
+            if port not in best or rank < best[port][0]:
+                best[port] = (rank, value)
+        for attribute, steps in field_shapes.get(shape, ()):
+            items.setdefault((product, tuple(path[:steps])), {}).setdefault(tuple(path[: steps + 2]), []).append((attribute, value))
+    for (product, _), lists in ports.items():
+        own = products[product]
+        if listed and "name" not in own:
+            continue
+        name, owner = own.get("name", (0, file.rpartition("/")[2]))[1], own.get("owner", (0, None))[1]
+        for port, (_, dataset) in lists[min(lists)].items():
+            for told in items.get((product, port), {}).values():
+                least = lambda a: min((v for b, v in told if b == a), default=None)  # noqa: B023, E731
+                field, tags = least("name"), sorted({v for a, v in told if a.startswith("classification")})
+                if field is not None:
+                    kind = least("data_type")
+                    kind = kind if kind is not None else least("type")
+                    required = least("required") == "true" or least("nullable") == "false"
+                    tags = ["pii"] if not tags and ("pii", "true") in told else tags
+                    yield (file, form, name, owner, own.get("enforced", False), dataset, field, "unknown" if kind is None else kind, required, tags)
+
+
+def product_fields(texts: DataFrame, groups_file: str = "groups.yml") -> DataFrame:
+    """products() joined with fields() of declared() nodes, read in one pass over each text; a task holds one text's nodes."""
+    fields = StructType.fromDDL(PRODUCT_FIELDS)
+    schema, known = to_arrow_schema(fields), (_lookup(_attribute_rows()), _lookup(_port_rows()), _lookup(_field_rows()))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=schema.names)
+
+    def found(batches):
+        rows: list = []
+        for file, trees in outline.documents(batches):
+            for nodes in trees:
+                shaped = [(path, "/".join("[]" if s[:1] == "[" and _ITEM.match(s) else s for s in path), value) for path, value in nodes]
+                for row in _document_fields(file, shaped, groups_file, known):
+                    rows.append(row)
+                    if len(rows) == outline.MOST_NODES:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    read = texts.filter(F.lower("file").rlike(r"\.ya?ml$")).select("file", "content")
+    return dealt(read, "file").mapInArrow(found, fields)
+
+
 # ---------------------------------------------------------------- catalogues
 
 _ENTITY = "struct<urn:string,name:string,ownership:struct<owners:array<string>>,domain:string,tags:array<string>,glossaryTerms:array<string>>"
